@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import fingerprints, quality_rules
+from pyspark.sql import functions as F
+
+from tidewell.llm import fingerprints, language_id, quality_classifier, quality_rules
 from tidewell.session import load, materialize
 
 
@@ -16,12 +18,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, ratios)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(4, 2))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    judged = language_id.identify(docs.select("doc_id", "held_out", "text"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    described = materialize(quality_classifier.with_statistics(docs).drop("text").withColumn("held_out", language_id.held_out(3, 1)), "stats")
+    labels = load(spark, sf_dir, "labels").where(~language_id.held_out(3, 1))
+    model = quality_classifier.fit(described, labels)
+    scored = quality_classifier.score(described, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op7_document_fingerprints)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op7_document_fingerprints, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
