@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, language_id, quality_classifier, quality_rules
+from tidewell.llm import fingerprints, html_extract, language_id, quality_classifier, quality_rules
 from tidewell.session import load, materialize
 
 
@@ -38,8 +38,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op7_document_fingerprints, op8_quality_classifier)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
