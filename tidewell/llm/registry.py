@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, html_extract, language_id, quality_classifier, quality_rules
+from tidewell.llm import fingerprints, html_extract, language_id, line_dedup, order_minhash, quality_classifier, quality_rules
 from tidewell.session import load, materialize
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = line_dedup.dedup(docs, counts=True)
+    return rest.select("doc_id", "n_lines", "n_dropped", "n_near", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     ratios = materialize(quality_rules.fit_log_ratio(docs, quality_rules.trusted(load(spark, sf_dir, "labels"))), "llr")
@@ -42,8 +48,15 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = order_minhash.classify(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction)}
+    return {f.__name__: f for f in (
+        op1_line_dedup, op2_quality_rules, op3_language_id, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction, op10_order_minhash,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
