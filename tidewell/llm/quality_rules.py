@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.sqlx import WORD, indices, let, words
+from tidewell.session import materialize
 
 #: Hash bins. The table of ratios is this long at every corpus size.
 BUCKETS = 1 << 16
@@ -80,7 +81,8 @@ def fit_log_ratio(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc
         F.explode(let(words(F.col("_x")), lambda w: ngram_bins(w, buckets))).alias("bin"),
         F.col("_t").isNotNull().cast("long").alias("hit"),
     )
-    counts = grams.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target"))
+    # Written once: the totals and the ratios both read it, and counting is the dear part.
+    counts = materialize(grams.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target")), "bins")
     all_bins = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bin"))
     full = all_bins.join(counts, "bin", "left").select("bin", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     totals = full.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n"))
