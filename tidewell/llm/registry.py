@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, html_extract, language_id, line_dedup, order_minhash, quality_classifier, quality_rules
+from tidewell.llm import fingerprints, html_extract, language_id, license_scan, line_dedup, mixing, order_minhash, quality_classifier, quality_rules, sentencepiece_codec
 from tidewell.session import load, materialize
 
 
@@ -40,6 +40,29 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.fit(docs))
+    sure = F.filter("licenses", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", F.size("licenses").alias("n_found"), F.size(sure).alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.transform(sure, lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"),
+    )
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.encode(docs)
+    back = sentencepiece_codec.decoded(coded, F.col("pieces"))
+    return coded.select("doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), back.eqNullSafe(F.col("text")).alias("lossless"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p", 9).alias("p"), "kept")
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
 
@@ -55,7 +78,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_quality_rules, op3_language_id, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction, op10_order_minhash,
+        op1_line_dedup, op2_quality_rules, op3_language_id, op4_license_scans, op5_sentencepiece, op6_mixing, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction, op10_order_minhash,
     )}
 
 
