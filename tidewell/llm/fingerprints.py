@@ -29,9 +29,9 @@ _NULL_ID = -(1 << 63)
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Distinct anchors (32 bits, as bigint) in text order."""
+    """Distinct anchors (32 bits, as int) in text order."""
     span = k - s
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    low = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
     def chosen(h: Column) -> Column:
         def at(i: Column) -> Column:
@@ -46,7 +46,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         smers = F.transform(indices(F.size(w) - (s - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)]))
         whole = F.array(low(F.xxhash64(F.array_join(w, " "))))
         return (
-            F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
+            F.when(F.size(w) == 0, F.array().cast("array<int>"))
             .when(F.size(w) < k, whole)
             .otherwise(let(let(smers, chosen), lambda a: F.when(F.size(a) > 0, a).otherwise(whole)))
         )
@@ -56,7 +56,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 def as_string(a: Column) -> Column:
     """Eight lowercase hex digits for each anchor."""
-    return F.lower(F.array_join(F.transform(a, lambda x: F.substring(F.hex(x + F.lit(1 << 32)), 2, 8)), ""))
+    return F.lower(F.array_join(F.transform(a, lambda x: F.substring(F.hex(x.cast("bigint") + F.lit((1 << 31) + (1 << 32))), 2, 8)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,13 +74,13 @@ def matches(a: Column, b: Column) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("_k"), F.xxhash64(text).alias("_h"), F.col(id_col).alias("_id"), text.alias("_x")
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("_k"), F.xxhash64(text).alias("_h"), text.alias("_x")
     )
 
 
 def next_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_k, _h, n, _nk, _nh): each distinct (id, text hash), its code points and the key of the next."""
-    keys = _keyed(docs, id_col, text_col).select("_k", "_h", F.char_length("_x").alias("n")).distinct()
+    """(_k, _h, n, copies, _nk, _nh): each distinct (id, text hash), its code points, its rows and the key of the next."""
+    keys = _keyed(docs, id_col, text_col).groupBy("_k", "_h", F.char_length("_x").alias("n")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
     order = [F.col("_k").desc(), F.col("_h").asc()]
     ranged = materialize(
         keys.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")),
@@ -94,31 +94,32 @@ def next_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     after = heads.select("p", F.coalesce(F.lead("head").over(whole), first).alias("after"))
     inner = F.lead(key).over(Window.partitionBy("p").orderBy("m"))
     placed = ranged.select("*", inner.alias("nx")).join(F.broadcast(after), "p")
-    return placed.select("_k", "_h", "n", F.coalesce(F.col("nx._k"), F.col("after._k")).alias("_nk"), F.coalesce(F.col("nx._h"), F.col("after._h")).alias("_nh"))
+    return placed.select("_k", "_h", "n", "copies", F.coalesce(F.col("nx._k"), F.col("after._k")).alias("_nk"), F.coalesce(F.col("nx._h"), F.col("after._h")).alias("_nh"))
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of each text and of the text with its last third replaced.
 
     The last floor(n/3) code points give way to as many from the start of the
-    next document (or all it has). The next row sends only that prefix and its
-    anchors, so a text is shuffled once and a third of it once more."""
-    keyed = _keyed(docs, id_col, text_col)
+    next document (or all it has). Texts are shuffled once, equal rows as one, and
+    both joins read that shuffle; the next row then sends only the
+    prefix and its anchors."""
+    keyed = _keyed(docs, id_col, text_col).dropDuplicates(["_k", "_h"])
     following = next_in_order(docs, id_col=id_col, text_col=text_col)
     cut = F.floor(F.col("n") / 3).cast("int")
-    asked = following.select(F.col("_k").alias("_rk"), F.col("_h").alias("_rh"), F.col("_nk").alias("_k"), F.col("_nh").alias("_h"), cut.alias("_cut"))
-    sent = (
-        keyed.dropDuplicates(["_k", "_h"])
-        .join(asked, ["_k", "_h"])
-        .select(F.col("_rk").alias("_k"), F.col("_rh").alias("_h"), F.expr("substring(_x, 1, _cut)").alias("_head"), anchors(F.col("_x"), k, s).alias("_next"))
+    asked = following.select(F.col("_k").alias("_rk"), F.col("_h").alias("_rh"), F.col("_nk").alias("_k"), F.col("_nh").alias("_h"), "copies", cut.alias("_cut"))
+    sent = keyed.join(asked, ["_k", "_h"]).select(
+        F.col("_rk").alias("_k"), F.col("_rh").alias("_h"), "copies", F.expr("substring(_x, 1, _cut)").alias("_head"), anchors(F.col("_x"), k, s).alias("_next")
     )
     n = F.char_length("_x")
     return (
         keyed.join(sent, ["_k", "_h"])
-        .select("_id", n.cast("long").alias("n_chars"), "_x", "_next", F.concat(F.expr("substring(_x, 1, char_length(_x) - cast(floor(char_length(_x) / 3) as int))"), F.col("_head")).alias("_e"))
-        .select("_id", "n_chars", "_next", F.sha2(F.col("_e"), 256).alias("edited_sha256"), anchors(F.col("_x"), k, s).alias("_a"), anchors(F.col("_e"), k, s).alias("_b"))
+        .select(F.when(F.col("_k") != _NULL_ID, F.col("_k")).cast(docs.schema[id_col].dataType).alias("_id"), "copies", n.cast("long").alias("n_chars"), "_x", "_next", F.concat(F.expr("substring(_x, 1, char_length(_x) - cast(floor(char_length(_x) / 3) as int))"), F.col("_head")).alias("_e"))
+        .select("_id", "copies", "n_chars", "_next", F.sha2(F.col("_e"), 256).alias("edited_sha256"), anchors(F.col("_x"), k, s).alias("_a"), anchors(F.col("_e"), k, s).alias("_b"))
         .select(
             F.col("_id").alias(id_col), "n_chars", "edited_sha256", as_string(F.col("_a")).alias("fingerprint"), as_string(F.col("_b")).alias("edited_fingerprint"),
-            likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_next")).alias("near_next"),
+            likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_next")).alias("near_next"), "copies",
         )
+        .withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
+        .drop("copies")
     )
