@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "facet_page"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from tidewell.registry import QUERIES, SQL
+
+FLAGSHIP = "forecast_full"
+MODULES = ("forecasting",)
+
+
+def _loaded() -> None:
+    for m in MODULES:
+        importlib.import_module(f"tidewell.plans.{m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    _loaded()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _loaded()
+    return dict(SQL)
