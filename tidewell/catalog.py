@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.registry import QUERIES, SQL
 
-FLAGSHIP = "forecast_full"
-MODULES = ("forecasting",)
+FLAGSHIP = "facet_page"
+MODULES = ("forecasting", "facets")
 
 
 def _loaded() -> None:
