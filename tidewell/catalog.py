@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.registry import QUERIES, SQL
 
 FLAGSHIP = "facet_page"
-MODULES = ("forecasting", "facets", "health", "changes")
+MODULES = ("forecasting", "facets", "health", "changes", "texts", "reads")
 
 
 def _loaded() -> None:
