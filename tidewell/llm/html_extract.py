@@ -284,11 +284,12 @@ def infer_wrappers(read_pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] = ("page_id", "url"), text_as: str = "text") -> DataFrame:
     """``keep`` columns of each page with its main text."""
-    here = pages.select(*keep, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    # The kept columns travel as one struct, so none of their names can clash.
+    here = pages.select(F.struct(*keep).alias("_row"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     read_pages = materialize(parsed(here, "_html", "_url").drop("_url", "_html"), "pages")  # parsed once; text without markup
     wrappers = materialize(infer_wrappers(read_pages).select("_host", "_s", F.col("keep").alias("_keep")), "wrappers")
-    blocks = read_pages.select(*keep, "_host", F.xxhash64("_p.stream").alias("_s"), F.col("_p.blocks").alias("_b"))
+    blocks = read_pages.select("_row", "_host", F.xxhash64("_p.stream").alias("_s"), F.col("_p.blocks").alias("_b"))
     # Wrappers are unique by key, so where the join is a shuffle a hot host can be split.
     joined = blocks.join(wrappers, ["_host", "_s"], "left")
     chosen = F.transform(F.filter("_b", lambda b: F.coalesce(F.get("_keep", b["slot"]), F.lit(False))), lambda b: b["text"])
-    return joined.select(*keep, F.coalesce(F.array_join(chosen, "\n\n"), F.lit("")).alias(text_as))
+    return joined.select(*[F.col("_row")[c].alias(c) for c in keep], F.coalesce(F.array_join(chosen, "\n\n"), F.lit("")).alias(text_as))

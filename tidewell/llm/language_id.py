@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, row_sums
+from tidewell.llm.sqlx import fresh
 
 #: Families of closely related languages. A language not listed is its own family.
 FAMILIES = {
@@ -132,7 +133,7 @@ def _machine(x: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 1e-
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """Fit on labelled rows, at most ``per_language`` a language and ``max_rows`` in all."""
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col, label_col)
     langs = sorted(r[0] for r in labelled.select(label_col).distinct().limit(max_rows).collect())
     if not langs:
         return Model()
@@ -217,7 +218,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as:
         langs, scores = predict(shared.value, texts)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_judged", judge(F.col(text_col))).withColumns({lang_as: F.col("_judged.lang"), score_as: F.col("_judged.score")}).drop("_judged")
+    at = fresh(docs, "_judged")
+    return docs.withColumn(at, judge(F.col(text_col))).withColumns({lang_as: F.col(at)["lang"], score_as: F.col(at)["score"]}).drop(at)
 
 
 def accepted(judged: DataFrame, *, min_score: float = MIN_SCORE) -> DataFrame:

@@ -153,8 +153,8 @@ def _unpack(packed: bytes | None) -> str | None:
     return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)), "_t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), *more)
 
 
 def _order() -> Column:
@@ -163,7 +163,7 @@ def _order() -> Column:
 
 def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_k, _t, gone): places of the lines that go, for the texts that lose any."""
-    keyed = _keyed(docs, id_col, text_col).select("_k", "_t", F.col(text_col).alias("_x"))
+    keyed = _keyed(docs, id_col, text_col, F.col(text_col).alias("_x"))
     read = F.arrow_udf(describe, _LINES)
     lines = materialize(keyed.select("_k", "_t", F.explode(read(F.coalesce(F.col("_x"), F.lit("")))).alias("l")).select("_k", "_t", "l.*"), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -205,7 +205,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     """``docs`` with the dropped lines taken out of the text; ``counts`` adds n_lines, n_dropped, n_near."""
     names = docs.columns
     found = drops(docs, id_col=id_col, text_col=text_col)
-    packed = _keyed(docs, id_col, text_col).withColumn("_z", _packed(F.col(text_col))).drop(text_col)
+    # The other columns travel as one struct, so none of their names can clash.
+    others = [c for c in names if c != text_col]
+    packed = _keyed(docs, id_col, text_col, F.struct(*others).alias("_row"), _packed(F.col(text_col)).alias("_z"))
 
     @F.arrow_udf("struct<text:string,n:int>")
     def rest(z: pa.Array, gone: pa.Array) -> pa.Array:
@@ -219,4 +221,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
 
     joined = packed.join(found, ["_k", "_t"], "left").withColumn("_r", rest("_z", "gone"))
     extra = [F.col("_r.n").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near")] if counts else []
-    return joined.select(*[F.col("_r.text").alias(c) if c == text_col else F.col(c) for c in names], *extra)
+    return joined.select(*[F.col("_r.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names if not counts or c not in ("n_lines", "n_dropped", "n_near")], *extra)

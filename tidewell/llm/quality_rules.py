@@ -99,8 +99,9 @@ def apply_rules(docs: DataFrame, ratios: DataFrame, *, text_col: str = "text", k
     table = ratios.agg(F.array_sort(F.collect_list(F.struct("bin", "ratio"))).alias("t")).select(F.transform("t", lambda x: x["ratio"]).alias("t"))
     w = F.col("_w")
     n = F.size(w).cast("long")
-    base = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_x"), words(F.col(text_col)).alias("_w")).select(
-        *keep,
+    # The kept columns travel as one struct, so none of their names can clash.
+    base = docs.select(F.struct(*keep).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_x"), words(F.col(text_col)).alias("_w")).select(
+        "_row",
         n.alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("_x", NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
@@ -113,7 +114,7 @@ def apply_rules(docs: DataFrame, ratios: DataFrame, *, text_col: str = "text", k
     scored = base.withColumn("llr", F.when(F.col("n_words") == 0, 0.0).otherwise(total / (2 * F.col("n_words") - 1)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return scored.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *[F.col("_row")[c].alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("llr") >= min_llr)).alias("kept"), F.round("llr", 6).alias("llr"),
     )
 
