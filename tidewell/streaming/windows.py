@@ -11,7 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _late(df: DataFrame, at: str, watermark: str | None) -> DataFrame:
-    return df.withWatermark(at, watermark) if watermark and df.isStreaming else df
+    if not (watermark and df.isStreaming):
+        return df
+    zoned = df if df.schema[at].dataType.typeName() == "timestamp" else df.withColumn(at, F.col(at).cast("timestamp"))
+    return zoned.withWatermark(at, watermark)
 
 
 def tumbling(df: DataFrame, at: str, size: str, by: list[str], value: str, watermark: str | None = "1 hour") -> DataFrame:
