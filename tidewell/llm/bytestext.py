@@ -16,7 +16,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -40,14 +40,14 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.nd
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(18, int(n).bit_length())
     if size not in _POWERS:
         made = []
         for r in (_R, _R_INV):
             p = np.full(size, r, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
-        if size > 1 << 22:
+        if size > 1 << 20:
             return tuple(made)
         _POWERS[size] = tuple(made)
     return _POWERS[size]

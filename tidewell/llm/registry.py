@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from tidewell.llm import fingerprints, html_extract, language_id, license_scan, line_dedup, mixing, order_minhash, quality_classifier, quality_rules, sentencepiece_codec
+from tidewell.llm.sqlx import small_batches
 from tidewell.session import load, materialize
 
 
@@ -78,7 +78,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
+    return {f.__name__: small_batches(f) for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_license_scans, op5_sentencepiece, op6_mixing, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction, op10_order_minhash,
     )} | {"pipeline": corpus_pipeline.run}
 

@@ -31,9 +31,9 @@ from tidewell.llm.bytestext import blocks, mix, span_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 VARIANTS = 4
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Chunks a worker remembers from block to block.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Chunks of more symbols are encoded with a heap, one by one.
 LONG = 64
 _MARK = "▁"

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows and bytes of text that an Arrow batch brings to a Python worker at most; smaller settings stay.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f(spark, ...)`` in a session whose Arrow batches are small, so that workers need little memory
+    however long the texts are. The settings stay, because ``f`` gives a plan that runs later."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        for key, most in BATCH.items():
+            now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+            if not 0 < now <= most:
+                spark.conf.set(key, str(most))
+        return f(spark, *args)
+
+    return run
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, even where ``body`` reads it inside a lambda."""
