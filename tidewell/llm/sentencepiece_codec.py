@@ -31,9 +31,9 @@ from tidewell.llm.bytestext import blocks, mix, span_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 VARIANTS = 4
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 #: Chunks a worker remembers from block to block.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Chunks of more symbols are encoded with a heap, one by one.
 LONG = 64
 _MARK = "▁"
@@ -84,7 +84,7 @@ class Vocabulary:
         spelled = [bytes([i - self.first_byte]) if self.first_byte <= i < self.first_byte + 256 else p.replace(_MARK, " ").encode() if n else b"" for i, (p, n) in enumerate(zip(self.pieces, self.normal, strict=True))]
         self.pool = np.frombuffer(b"".join(spelled), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(b) for b in spelled])])
-        self.known = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         self.char_id = chars
         return self
 
@@ -229,7 +229,7 @@ def encode_block(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, salt: np.
     doc = np.repeat(np.arange(rows), np.diff(chunk_of_row))
     key = mix(span_hashes(stream, start, end) ^ salt[doc])
     unique, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-    known, known_at, known_ids = v.known
+    known, known_at, known_size, known_ids = v.known
     spot = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
     hit = known[spot] == unique if len(known) else np.zeros(len(unique), bool)
     new = np.flatnonzero(~hit)
@@ -239,17 +239,15 @@ def encode_block(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, salt: np.
     ids, count = _spell(v, ids, count)
     at = np.empty(len(unique), np.int64)
     length = np.empty(len(unique), np.int64)
-    at[hit], length[hit] = known_at[spot[hit]], known_at[spot[hit] + 1] - known_at[spot[hit]]
+    at[hit], length[hit] = known_at[spot[hit]], known_size[spot[hit]]
     at[new], length[new] = len(known_ids) + np.cumsum(count) - count, count
     pool = np.concatenate([known_ids, ids])
     out = pool[_stretch(at[inverse], length[inverse])]
     sizes = np.concatenate([[0], np.cumsum(length[inverse])])[chunk_of_row]
     if len(known) < REMEMBERED and len(new):
         both = np.concatenate([known, unique[new]])
-        order = np.argsort(both)
-        starts = np.concatenate([known_at[:-1], at[new]])[order]
-        lens = np.concatenate([np.diff(known_at), count])[order]
-        v.known = (both[order], np.concatenate([[0], np.cumsum(lens)]), pool[_stretch(starts, lens)])
+        order = np.argsort(both, kind="stable")  # two sorted runs: a merge
+        v.known = (both[order], np.concatenate([known_at, at[new]])[order], np.concatenate([known_size, count])[order], pool)
     return out, np.diff(sizes)
 
 
