@@ -83,6 +83,27 @@ def test_a_hub_and_its_copies_are_one_class(spark):
     assert len(like) > 40 and all(got[k] == 0 for k in like)
 
 
+def test_links_that_meet_only_in_a_large_bucket_are_found(spark):
+    """300 unlike texts share boilerplate and one sketch; 12 pairs among them are alike and share no other."""
+    rng = random.Random(3)
+    boilerplate = [f"b{i}" for i in range(140)]
+    texts = []
+    for k in range(300):
+        own = [f"u{k}x{i}" for i in range(60)]
+        texts.append(boilerplate + own)
+        if k % 25 == 0:
+            texts.append(boilerplate + own[:55] + [f"w{k}x{i}" for i in range(5)])
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    drawn = O.materialize(O.sketched(docs).selectExpr("id", "node", "n", "array(7L, xxhash64(node, 'alone')) as sketches"))
+    found, _ = O.links(drawn, docs.selectExpr("xxhash64(text) as node", "text"))
+    sets = [shingle_set(" ".join(w)) for w in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    at = {r["node"]: r["id"] for r in drawn.collect()}
+    assert len(want) == 12
+    assert {(max(at[r["a"]], at[r["b"]]), min(at[r["a"]], at[r["b"]])) for r in found.collect()} == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (10, 11), (20, 20), (11, 12), (30, 7), (7, 6)]
     got = defaultdict(set)

@@ -9,11 +9,14 @@ a banded alignment of the two shingle sequences covers at least ``MIN_LIKENESS``
 M / (n + m - M) for M aligned of n and m shingles. Classes are the connected
 components of the links together with equal texts.
 
-A bucket of texts that share a sketch is not expanded into pairs: every member
-is compared with the bucket's leader, the member that shares most sketches with
-other texts (an original shares more than its copies). Buckets whose members
-then lie in several components are taken up again, component against component,
-until ``DRY_ROUNDS`` rounds in a row find no new link; no size is capped.
+A bucket of texts that share a sketch is not expanded into pairs. Every member is
+first compared with the bucket's leader, the member that shares most sketches
+with other texts (an original shares more than its copies), and the components
+of mixed buckets with two leaders more. Then the members of every bucket that
+still lies in several components are joined by a prefix filter without loss: a
+link has at least ``MIN_LIKENESS`` of its labelled shingles in common, so the two
+texts share one of the rarest few of each. All pairs that do, and are in two
+components, are aligned. No bucket is capped, and none is left unfinished.
 
 Texts are known by a 64-bit hash (n texts collide with chance n^2 / 2^65).
 
@@ -27,10 +30,11 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, word_hashes
@@ -42,10 +46,8 @@ DRAWN = 2
 SKETCHES = 16
 MIN_LIKENESS = 0.8
 BAND = 0.25
-#: Rounds in a row without a new link after which buckets are done.
-DRY_ROUNDS = 2
-#: Components of a bucket up to which all are compared with each other.
-FEW = 8
+#: Bins in which shingles are counted to find the rare ones. Any order of shingles gives the same links.
+BINS = 1 << 18
 _NULL_ID = -(1 << 63)
 
 
@@ -192,9 +194,8 @@ def links(drawn: DataFrame, texts: DataFrame, min_likeness: float = MIN_LIKENESS
     tested: DataFrame | None = None
     found: DataFrame | None = None
     comp: DataFrame | None = None
-    turn = dry = 0
-    while dry < DRY_ROUNDS:
-        pairs = _first_pairs(bucketed) if turn == 0 else _mixed_pairs(bucketed, comp, found, turn)
+    for turn, propose in enumerate((lambda: _first_pairs(bucketed), lambda: _mixed_pairs(bucketed, comp, found), lambda: _prefix_pairs(bucketed, texts, comp, min_likeness))):
+        pairs = propose()
         close = F.least("n", "m") >= min_likeness * F.greatest("n", "m") - 1e-9
         pairs = pairs.where(close & (F.col("node") != F.col("leader"))).groupBy(F.least("node", "leader").alias("lo"), F.greatest("node", "leader").alias("hi")).agg(F.max("leader").alias("a"))
         pairs = pairs.select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
@@ -202,13 +203,10 @@ def links(drawn: DataFrame, texts: DataFrame, min_likeness: float = MIN_LIKENESS
             pairs = pairs.join(tested.select("lo", "hi"), ["lo", "hi"], "left_anti")
         pairs, tested = _append(pairs, f"{root}/pairs", turn)
         new, linked = _append(verify(pairs.select("a", "b"), texts, min_likeness), f"{root}/links", turn)
-        if new.isEmpty():
-            dry += 1
-        else:
+        if not new.isEmpty():
             # Components so far are stars, so the next ones are a step or two away.
             edges = new.select("a", "b") if comp is None else new.select("a", "b").union(comp.select("node", "component"))
-            found, comp, dry = linked, components(edges), 0
-        turn += 1
+            found, comp = linked, components(edges)
     return found, comp
 
 
@@ -226,25 +224,76 @@ def _first_pairs(bucketed: DataFrame) -> DataFrame:
     return bucketed.join(lead.select("j", "s", F.col("lead.node").alias("leader"), F.col("lead.n").alias("m")), ["j", "s"])
 
 
-def _mixed_pairs(bucketed: DataFrame, comp: DataFrame | None, found: DataFrame | None, turn: int) -> DataFrame:
-    """In buckets whose members lie in several components: one member of each component, drawn anew in
-    every round, with all others where they are few, else with two leaders: any one, and the one with
-    most links. Few or many, no member gets more than ``FEW`` partners in a bucket."""
+def _placed(bucketed: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``bucketed`` with the component ``c`` of each node."""
     placed = bucketed if comp is None else bucketed.join(comp.withColumnRenamed("component", "c"), "node", "left")
-    placed = placed.withColumn("c", F.col("node") if comp is None else F.coalesce("c", "node"))
+    return placed.withColumn("c", F.col("node") if comp is None else F.coalesce("c", "node"))
+
+
+def _mixed_pairs(bucketed: DataFrame, comp: DataFrame | None, found: DataFrame | None) -> DataFrame:
+    """In buckets whose members lie in several components: one member of each component with two
+    leaders, any one and the one with most links. It spares ``_prefix_pairs`` the easy links."""
+    placed = _placed(bucketed, comp)
     placed = placed.withColumn("links", F.lit(0)) if found is None else placed.join(_degrees(found).withColumnRenamed("n_links", "links"), "node", "left")
     who = (F.col("node").alias("node"), F.col("n").alias("n"))
-    seed = F.lit(str(turn))  # a text, so that the rounds share their compiled code
-    drawn = F.struct(F.xxhash64("node", seed, "j").alias("by"), *who)
-    linked = F.struct(F.coalesce("links", F.lit(0)).alias("by"), F.xxhash64("node", seed).alias("then"), *who)
+    drawn = F.struct(F.xxhash64("node", "j").alias("by"), *who)
+    linked = F.struct(F.coalesce("links", F.lit(0)).alias("by"), F.xxhash64("node").alias("then"), *who)
     heads = placed.groupBy("j", "s", "c").agg(F.max(drawn).alias("any"), F.max(linked).alias("most"))
     leads = heads.groupBy("j", "s").agg(F.count(F.lit(1)).alias("parts"), F.max("any").alias("lead_any"), F.max("most").alias("lead_most")).where("parts > 1")
     both = heads.join(leads, ["j", "s"])
     pair = lambda x, y: F.struct(x["node"].alias("node"), x["n"].alias("n"), y["node"].alias("leader"), y["n"].alias("m"))
-    stars = both.select(F.inline(F.array(pair(F.col("any"), F.col("lead_any")), pair(F.col("any"), F.col("lead_most")), pair(F.col("most"), F.col("lead_most")))))
-    few = both.where(F.col("parts") <= FEW).groupBy("j", "s").agg(F.array_sort(F.collect_list("any")).alias("h"))
-    among = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, FEW), lambda y: pair(x, y))))
-    return stars.unionByName(few.select(F.inline(among)))
+    return both.select(F.inline(F.array(pair(F.col("any"), F.col("lead_any")), pair(F.col("any"), F.col("lead_most")), pair(F.col("most"), F.col("lead_most")))))
+
+
+def _prefix_pairs(bucketed: DataFrame, texts: DataFrame, comp: DataFrame | None, min_likeness: float) -> DataFrame:
+    """Of all members of mixed buckets, every pair in two components that can be a link.
+
+    A link of n >= m shingles has t * n and 2t / (1 + t) * m of them in common at least, so under
+    any one order of all shingles its first common one is among the first n - t * n of the longer
+    and the first m - 2t / (1 + t) * m of the shorter text (and one more). Rare ones come first,
+    so shared boilerplate is behind that bound, or the texts are alike."""
+    placed = _placed(bucketed, comp)
+    mixed = placed.groupBy("j", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("j", "s")
+    nodes = placed.join(mixed, ["j", "s"], "left_semi").select("node", "c").distinct()
+    open_texts = materialize(texts.join(nodes, "node"), "open")
+    rows = open_texts.select("text").mapInArrow(_count_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BINS, np.int64)
+    often[rows["bin"].to_numpy()] = rows["n"].to_numpy()
+    long_share, short_share = min_likeness, 2 * min_likeness / (1 + min_likeness)
+    ahead = lambda n, share: n - int(np.ceil(share * n - 1e-6)) + 1
+
+    @F.arrow_udf("struct<n:int,short:int,keys:array<bigint>>")
+    def rarest(column: pa.Array) -> pa.Array:
+        sizes, shorts, keys, ends = [], [], [np.zeros(0, np.uint64)], [0]
+        for v in column:
+            h = _sequence(v.as_py())
+            first = h[np.lexsort((h, often[(h % np.uint64(BINS)).astype(np.int64)]))][: ahead(len(h), long_share)]
+            sizes.append(len(h))
+            shorts.append(ahead(len(h), short_share))
+            keys.append(first)
+            ends.append(ends[-1] + len(first))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(shorts, pa.int32()), lists], ["n", "short", "keys"])
+
+    each = open_texts.select("node", "c", rarest("text").alias("r")).select("node", "c", "r.n", "r.short", F.posexplode("r.keys").alias("i", "key"))
+    # A shingle in one component only, or first in no text, can give no pair.
+    by_key = Window.partitionBy("key")
+    index = F.col("i") < F.col("short")
+    seen = each.select("node", "c", "n", index.alias("index"), "key", F.min("c").over(by_key).alias("lo"), F.max("c").over(by_key).alias("hi"), F.max(index).over(by_key).alias("any"))
+    live = materialize(seen.where("lo <> hi and any").drop("lo", "hi", "any"), "prefixes")
+    short = live.where("index").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("c").alias("d"))
+    fits = (F.col("c") != F.col("d")) & (F.col("n") >= F.col("m")) & (F.col("m") >= min_likeness * F.col("n") - 1e-9)
+    return live.join(short, "key").where(fits).select("node", "n", "leader", "m").distinct()
+
+
+def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's texts fall in each bin."""
+    often = np.zeros(BINS, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in blocks(batch["text"]):
+            often += np.bincount((shingles(data, offsets)[0] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    used = np.flatnonzero(often)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(often[used])], ["bin", "n"])
 
 
 def _degrees(found: DataFrame) -> DataFrame:
