@@ -125,3 +125,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == len({r["class_id"] if r["class_id"] is not None else ("null", r["node"]) for r in got} | set()) or len(rows) <= len(classes)
     assert sum(r["doc_id"] == 4 for r in rows) == 1
     assert O.dedup(no_docs).count() == 0
+
+
+def test_one_row_of_every_class_stays(spark):
+    """Also where unlike texts share one id, or have none."""
+    of = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    near = of("a").replace("a39", "z39")
+    rows = [(9, of("a")), (9, of("b")), (12, near), (None, of("c")), (None, of("d")), (None, of("d")), (None, of("b")), (3, of("e")), (3, of("e")), (5, None), (None, "")]
+    kept = O.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["text"] or "", r["doc_id"]) for r in kept) == sorted([(of("a"), 9), (of("b"), 9), (of("c"), None), (of("d"), None), (of("e"), 3), ("", 5)], key=lambda r: r[0])
+
+
+def test_odd_rows_keep_one_of_every_class(odd_docs):
+    texts = sorted({r["text"] or "" for r in odd_docs.collect()})
+    node = {t: i for i, t in enumerate(texts)}
+    got = O._classes(odd_docs, "doc_id", "text", O.MIN_LIKENESS).collect()
+    kept = O.dedup(odd_docs).collect()
+    assert len(kept) == len({r["c"] for r in got})
+    assert len({node[r["text"] or ""] for r in kept}) == len(kept)

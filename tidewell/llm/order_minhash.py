@@ -300,27 +300,32 @@ def _degrees(found: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
 
 
-def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_likeness: float = MIN_LIKENESS) -> DataFrame:
-    """(id_col, node, class_id, n_links): one row for each document."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, min_likeness: float) -> DataFrame:
+    """(id, node, c, n_links): one row for each document, ``c`` being the same in one class only."""
     drawn = materialize(sketched(docs, id_col=id_col, text_col=text_col), "sketches")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     found, comp = links(drawn, texts, min_likeness)
     rows = drawn.select("id", "node")
     if found is None:
-        placed = rows.select("id", "node", F.col("node").alias("c"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        known = comp.join(_degrees(found), "node", "left")
-        placed = rows.join(known, "node", "left").select("id", "node", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return rows.select("id", "node", F.col("node").alias("c"), F.lit(0).cast("long").alias("n_links"))
+    known = comp.join(_degrees(found), "node", "left")
+    return rows.join(known, "node", "left").select("id", "node", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_likeness: float = MIN_LIKENESS) -> DataFrame:
+    """(id_col, node, class_id, n_links): one row for each document."""
+    placed = _classes(docs, id_col, text_col, min_likeness)
     smallest = placed.groupBy("c").agg(F.min("id").alias("class_id"))
     return placed.join(smallest, "c").select(F.col("id").alias(id_col), "node", "class_id", "n_links")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_likeness: float = MIN_LIKENESS) -> DataFrame:
-    """``docs`` with one row of each class: the one with the class's smallest id."""
-    classes = classify(docs, id_col=id_col, text_col=text_col, min_likeness=min_likeness)
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(key.alias("_k"), F.col("node").alias("_n")).groupBy("_k").agg(F.min("_n").alias("_n"))
+    """``docs`` with one row of each class: the one with the class's smallest id (null only if all are)."""
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(_NULL_ID)).alias("_k")
+    # By class, not by id: unlike texts may have one id or none.
+    first = _classes(docs, id_col, text_col, min_likeness).groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("f")).select("f.id", "f.node")
+    stay = first.select(key("id"), F.col("node").alias("_n"))
     # The row travels as one struct, so none of its names can clash.
-    marked = docs.select(key.alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"), F.struct(*docs.columns).alias("_row"))
+    marked = docs.select(key(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"), F.struct(*docs.columns).alias("_row"))
     return marked.join(stay, ["_k", "_n"], "left_semi").dropDuplicates(["_k", "_n"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
