@@ -58,6 +58,13 @@ def test_quality_rules_ratio_is_the_smoothed_one(spark):
     assert np.allclose([ratios[i] for i in range(64)], want)
 
 
+def test_quality_rules_count_every_trusted_document(spark):
+    """Where all documents are trusted, target and raw corpus are the same, however many there are."""
+    df = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    ratios = quality_rules.fit_log_ratio(df, df.select("doc_id").union(df.select("doc_id")), buckets=64).collect()
+    assert len(ratios) == 64 and all(abs(r["ratio"]) < 1e-12 for r in ratios)
+
+
 def test_quality_rules_odd_rows(spark, odd_docs, no_docs):
     ratios = quality_rules.fit_log_ratio(odd_docs, odd_docs.select("doc_id"))
     out = quality_rules.apply_rules(odd_docs, ratios, keep=("doc_id", "_row", "_w")).collect()

@@ -23,8 +23,6 @@ from tidewell.session import materialize
 BUCKETS = 1 << 16
 #: Mean log ratio from which a document is kept.
 MIN_LLR = -0.15
-#: Trusted rows at most, chosen by hash of the id: the bound of what is broadcast for the fit.
-MAX_TRUSTED = 20_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -64,19 +62,13 @@ def repeat_words(w: Column, window: int = WINDOW) -> Column:
     return let(windows, covered).cast("long")
 
 
-def fit_log_ratio(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def fit_log_ratio(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bin, ratio): log p(bin | trusted) - log p(bin | raw), add-one smoothed.
 
-    ``trusted_ids`` is cut to ``max_trusted`` ids before it is broadcast; the raw
-    counts cover every document. At most ``buckets`` rows leave the count."""
-    ids = (
-        trusted_ids.select(F.col(id_col).alias("_t"))
-        .where("_t is not null")
-        .distinct()
-        .orderBy(F.xxhash64("_t"), "_t")
-        .limit(max_trusted)
-    )
-    flagged = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_x")).join(F.broadcast(ids), F.col("_i") == F.col("_t"), "left")
+    Both counts cover every document. Ids are unique on the right, so where the join is a
+    shuffle a hot id can be split. At most ``buckets`` rows leave the count."""
+    ids = trusted_ids.select(F.col(id_col).alias("_t")).where("_t is not null").distinct()
+    flagged = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_x")).join(ids, F.col("_i") == F.col("_t"), "left")
     grams = flagged.select(
         F.explode(let(words(F.col("_x")), lambda w: ngram_bins(w, buckets))).alias("bin"),
         F.col("_t").isNotNull().cast("long").alias("hit"),
