@@ -28,13 +28,14 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, word_hashes
@@ -48,6 +49,8 @@ MIN_LIKENESS = 0.8
 BAND = 0.25
 #: Bins in which shingles are counted to find the rare ones. Any order of shingles gives the same links.
 BINS = 1 << 18
+#: Bits of the parity map that bounds what two texts have in common.
+MAP = 256
 _NULL_ID = -(1 << 63)
 
 
@@ -251,7 +254,10 @@ def _prefix_pairs(bucketed: DataFrame, texts: DataFrame, comp: DataFrame | None,
     A link of n >= m shingles has t * n and 2t / (1 + t) * m of them in common at least, so under
     any one order of all shingles its first common one is among the first n - t * n of the longer
     and the first m - 2t / (1 + t) * m of the shorter text (and one more). Rare ones come first,
-    so shared boilerplate is behind that bound, or the texts are alike."""
+    so shared boilerplate is behind that bound, or the texts are alike. Two bounds spare the join
+    pairs that can't be links, and lose none: at the first common shingle no more is left than stands
+    behind it in either text; and every bit in which two parity maps of all shingles differ is a
+    shingle that only one of the texts has."""
     placed = _placed(bucketed, comp)
     mixed = placed.groupBy("j", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("j", "s")
     nodes = placed.join(mixed, ["j", "s"], "left_semi").select("node", "c").distinct()
@@ -262,30 +268,43 @@ def _prefix_pairs(bucketed: DataFrame, texts: DataFrame, comp: DataFrame | None,
     long_share, short_share = min_likeness, 2 * min_likeness / (1 + min_likeness)
     ahead = lambda n, share: n - int(np.ceil(share * n - 1e-6)) + 1
 
-    @F.arrow_udf("struct<n:int,short:int,keys:array<bigint>>")
+    words = [f"w{k}" for k in range(MAP // 64)]
+
+    @F.arrow_udf("struct<n:int,short:int,%s,keys:array<bigint>>" % ",".join(f"{w}:bigint" for w in words))
     def rarest(column: pa.Array) -> pa.Array:
-        sizes, shorts, keys, ends = [], [], [np.zeros(0, np.uint64)], [0]
+        sizes, shorts, keys, ends, maps = [], [], [np.zeros(0, np.uint64)], [0], np.zeros((len(column), len(words)), np.int64)
         for v in column:
             h = _sequence(v.as_py())
             first = h[np.lexsort((h, often[(h % np.uint64(BINS)).astype(np.int64)]))][: ahead(len(h), long_share)]
+            maps[len(sizes)] = parity(h)
             sizes.append(len(h))
             shorts.append(ahead(len(h), short_share))
             keys.append(first)
             ends.append(ends[-1] + len(first))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(shorts, pa.int32()), lists], ["n", "short", "keys"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(shorts, pa.int32()), *[pa.array(m) for m in maps.T], lists], ["n", "short", *words, "keys"])
 
-    each = open_texts.select("node", "c", rarest("text").alias("r")).select("node", "c", "r.n", "r.short", F.posexplode("r.keys").alias("i", "key"))
+    each = open_texts.select("node", "c", rarest("text").alias("r")).select("node", "c", "r.n", "r.short", *[F.col(f"r.{w}") for w in words], F.posexplode("r.keys").alias("i", "key"))
     # A shingle in one component only, or first in no text, can give no pair.
     by_key = Window.partitionBy("key")
     index = F.col("i") < F.col("short")
-    seen = each.select("node", "c", "n", index.alias("index"), "key", F.min("c").over(by_key).alias("lo"), F.max("c").over(by_key).alias("hi"), F.max(index).over(by_key).alias("any"))
+    seen = each.select("node", "c", "n", "i", index.alias("index"), "key", *words, F.min("c").over(by_key).alias("lo"), F.max("c").over(by_key).alias("hi"), F.max(index).over(by_key).alias("any"))
     live = materialize(seen.where("lo <> hi and any").drop("lo", "hi", "any"), "prefixes")
-    short = live.where("index").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("c").alias("d"))
+    short = live.where("index").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), *[F.col(w).alias(f"v{w}") for w in words])
     fits = (F.col("c") != F.col("d")) & (F.col("n") >= F.col("m")) & (F.col("m") >= min_likeness * F.col("n") - 1e-9)
+    both = F.col("n") + F.col("m")
+    common = F.lit(min_likeness / (1 + min_likeness)) * both - 1e-6
+    differ = functools.reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in words])
+    fits = fits & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= common) & (both - differ >= 2 * common)
     return live.join(short, "key").where(fits).select("node", "n", "leader", "m").distinct()
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """The parity of the shingles in each of ``MAP`` bins, as whole numbers of 64 bits."""
+    odd = np.bincount((mix(h) % np.uint64(MAP)).astype(np.int64), minlength=MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles of a task's texts fall in each bin."""
     often = np.zeros(BINS, np.int64)
