@@ -65,9 +65,10 @@ def repeat_words(w: Column, window: int = WINDOW) -> Column:
 def fit_log_ratio(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bin, ratio): log p(bin | trusted) - log p(bin | raw), add-one smoothed.
 
-    Both counts cover every document. Ids are unique on the right, so where the join is a
-    shuffle a hot id can be split. At most ``buckets`` rows leave the count."""
-    ids = trusted_ids.select(F.col(id_col).alias("_t")).where("_t is not null").distinct()
+    Both counts cover every document. Trusted ids grow with the corpus, so they are never
+    broadcast: a sort-merge join at every size, in which a hot id can be split because ids
+    are unique on the right. At most ``buckets`` rows leave the count."""
+    ids = trusted_ids.select(F.col(id_col).alias("_t")).where("_t is not null").distinct().hint("merge")
     flagged = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_x")).join(ids, F.col("_i") == F.col("_t"), "left")
     grams = flagged.select(
         F.explode(let(words(F.col("_x")), lambda w: ngram_bins(w, buckets))).alias("bin"),
