@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidewell.llm import line_dedup as L
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -33,12 +36,13 @@ def test_equals_the_plain_version(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(30)]
     base = [[rng.choice(words) for _ in range(rng.randint(2, 24))] for _ in range(40)]
+    base += [[rng.choice(words[:6]) for _ in range(n)] for n in (1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 7, 8) for _ in range(3)]
     rows = []
     for k in range(60):
         made = []
         for _ in range(rng.randint(1, 6)):
             w = list(rng.choice(base))
-            for _ in range(rng.choice((0, 0, 1, 1, 2))):
+            for _ in range(min(len(w), rng.choice((0, 0, 1, 1, 2)))):
                 i = rng.randrange(len(w))
                 w[i : i + 1] = rng.choice(([], [rng.choice(words)], [w[i], rng.choice(words)]))
             made.append((" " if rng.random() < 0.3 else "") + rng.choice((" ", "  ")).join(w).capitalize())
@@ -46,10 +50,10 @@ def test_equals_the_plain_version(spark):
     want = plain(rows)
     assert want
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {r["doc_id"]: r for r in L.dedup(df, counts=True).collect()}
+    got = {r["doc_id"]: r for r in L.dedup(df, counts="told").collect()}
     for k, t in rows:
         assert got[k]["text"] == "\n".join(x for p, x in enumerate(t.split("\n")) if (k, p) not in want)
-        assert got[k]["n_dropped"] == sum(1 for o in want if o[0] == k)
+        assert got[k]["told"]["n_dropped"] == sum(1 for o in want if o[0] == k)
 
 
 def test_supplied_documents(spark):
@@ -61,8 +65,8 @@ def test_supplied_documents(spark):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    out = L.dedup(odd_docs, counts=True)
-    assert [c for c in out.columns if c in odd_docs.columns] == odd_docs.columns
+    out = L.dedup(odd_docs, counts="told")
+    assert out.columns == [*odd_docs.columns, "told"]
     rows = out.collect()
     assert len(rows) == odd_docs.count()
     assert [r["text"] for r in rows if r["doc_id"] == 1] == [None]
@@ -72,3 +76,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r["text"] for r in rows if r["doc_id"] is None) == ["", "null id text one two three four"]
     assert [r["text"] for r in rows if r["doc_id"] == 10] == ["a\n\n\nb\n"]
     assert L.dedup(no_docs).count() == 0
+
+
+def test_ids_and_names_of_any_kind(spark):
+    """Ids that are texts, columns with the operator's own names, short lines."""
+    rows = [("b", "Share this\nx y z", "mine"), ("a", "share this\none", "mine"), (None, "one\nSHARE  this\nx q z", "mine")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_near string").withColumns({"n_lines": F.col("n_near"), "n_dropped": F.col("n_near"), "_k": F.col("n_near")})
+    got = {r["doc_id"]: r for r in L.dedup(df, counts="told").collect()}
+    assert {k: r["text"] for k, r in got.items()} == {"a": "share this\none", "b": "x y z", None: ""}
+    assert all(r[c] == "mine" for r in got.values() for c in ("n_near", "n_lines", "n_dropped", "_k")) and got[None]["told"]["n_near"] == 1
+    with pytest.raises(ValueError, match="n_near"):
+        L.dedup(df, counts="n_near")

@@ -14,12 +14,16 @@ line goes that has an earlier one, in order of doc_id and place. The steps:
    edit distance is checked from their lengths and places.
 4. Each line meets only the earliest member of a group, never all others.
 
-Lines of fewer than ``MIN_WORDS`` words always stay, lines of fewer than
-``MIN_FUZZY`` are compared for equality only.
+Lines without a word always stay. Lines of fewer than ``min_words`` words stay
+too (``MIN_WORDS`` = 1: none of them), lines of fewer than ``min_fuzzy`` are compared
+for equality only (``MIN_FUZZY`` = 3: of two words, one edit leaves half a line).
+Lines of ``SHORT`` words or fewer have too few words for the filter of step 2 and
+emit all their variants.
 
 Defined results: a null text has no lines and stays null; rows equal in doc_id
 and text are one occurrence, so repeated rows keep the same lines; null ids come
-last; a text all of whose lines go is the empty text; other columns pass through.
+last; ids may have any type that can be ordered; a text all of whose lines go is
+the empty text; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, span_hashes, word_spans
+from tidewell.llm.sqlx import id_key, unused
 from tidewell.session import materialize
 
-MIN_WORDS = 3
-MIN_FUZZY = 8
+MIN_WORDS = 1
+MIN_FUZZY = 3
 SEGMENTS = 4
-_LAST = (1 << 63) - 1
+#: Words from which on a line can be cut in SEGMENTS stretches with one to spare.
+SHORT = SEGMENTS + 1
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _INV = {m: np.uint64(pow(int(m), -1, 1 << 64)) for m in (_M1, _M2)}
 
@@ -82,13 +88,13 @@ def _stretches(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (n - 1) // SEGMENTS, (n - 2) // SEGMENTS
 
 
-def describe(texts: pa.Array) -> pa.Array:
-    """Each text's lines of MIN_WORDS words or more: place, words, 128-bit hash and the filter's keys."""
+def describe(texts: pa.Array, min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY) -> pa.Array:
+    """Each text's lines of ``min_words`` words or more: place, words, 128-bit hash and the filter's keys."""
     columns: dict[str, list[np.ndarray]] = {c: [] for c in ("pos", "n", "h1", "h2", "per", "keys")}
     lines_of = np.zeros(len(texts), np.int64)
     for row, _, data, offsets in blocks(pc.utf8_lower(texts)):
         doc, place, begin, stop, w = _lines(data, offsets)
-        real = stop - begin >= MIN_WORDS
+        real = stop - begin >= max(1, min_words)
         doc, place, begin, stop = doc[real], place[real], begin[real], stop[real]
         n = stop - begin
         np.add.at(lines_of, row + doc, 1)
@@ -96,13 +102,13 @@ def describe(texts: pa.Array) -> pa.Array:
         short, long = _stretches(n)
         table = np.zeros((len(n), 2 * SEGMENTS), np.uint64)
         for side, q in enumerate((short, long)):
-            q = np.where(n >= MIN_FUZZY, q, 0)
+            q = np.maximum(q, 0)
             for i in range(SEGMENTS):
                 away = one.without(begin, begin + i * q, stop - (SEGMENTS - 1 - i) * q, stop)
                 table[:, side * SEGMENTS + i] = mix(away + (q * SEGMENTS + i).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
         used = np.zeros(table.shape, bool)
-        used[:, :SEGMENTS] = (n >= MIN_FUZZY)[:, None]
-        used[:, SEGMENTS:] = ((n >= MIN_FUZZY) & (short != long))[:, None]
+        used[:, :SEGMENTS] = (n >= max(min_fuzzy, SHORT))[:, None]
+        used[:, SEGMENTS:] = ((n >= max(min_fuzzy, SHORT + 1)) & (short != long))[:, None]
         found = {"pos": place, "n": n, "h1": one.without(begin, stop, stop, stop), "h2": two.without(begin, stop, stop, stop), "per": used.sum(1), "keys": table[used]}
         for c, v in found.items():
             columns[c].append(v)
@@ -154,23 +160,25 @@ def _unpack(packed: bytes | None) -> str | None:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), *more)
+    return docs.select(id_key(docs, id_col).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), *more)
 
 
 def _order() -> Column:
     return F.struct(F.col("_k").alias("k"), F.col("pos").alias("pos"), F.col("_t").alias("t"))
 
 
-def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     """(_k, _t, gone): places of the lines that go, for the texts that lose any."""
     keyed = _keyed(docs, id_col, text_col, F.col(text_col).alias("_x"))
-    read = F.arrow_udf(describe, _LINES)
+    read = F.arrow_udf(lambda texts: describe(texts, min_words, min_fuzzy), _LINES)
     lines = materialize(keyed.select("_k", "_t", F.explode(read(F.coalesce(F.col("_x"), F.lit("")))).alias("l")).select("_k", "_t", "l.*"), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"))
     # The filter: keys that two different lines share.
     keys = lines.select("h1", "h2", F.posexplode("keys").alias("stretch", "key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    live = keys.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set("stretch").alias("stretches"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("stretch")
+    short = lines.where(F.col("n").between(min_fuzzy, SHORT)).select("h1", "h2").distinct().select("h1", "h2", each)
+    live = keys.join(shared, "key").select("h1", "h2", "stretch").union(short).groupBy("h1", "h2").agg(F.collect_set("stretch").alias("stretches"))
     chosen = live.join(firsts, ["h1", "h2"]).select(F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "stretches").alias("l"))
     by_text = chosen.groupBy("_k", "_t").agg(F.collect_list("l").alias("lines"))
 
@@ -201,10 +209,14 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return gone.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).cast("int").alias("n_near"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with the dropped lines taken out of the text; ``counts`` adds n_lines, n_dropped, n_near."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: str | None = None, min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+    """``docs`` with the dropped lines taken out of the text.
+
+    ``counts`` names one more column, a struct of n_lines, n_dropped and n_near; it must be a new name."""
     names = docs.columns
-    found = drops(docs, id_col=id_col, text_col=text_col)
+    if counts is not None:
+        unused(docs, counts)
+    found = drops(docs, id_col=id_col, text_col=text_col, min_words=min_words, min_fuzzy=min_fuzzy)
     # The other columns travel as one struct, so none of their names can clash.
     others = [c for c in names if c != text_col]
     packed = _keyed(docs, id_col, text_col, F.struct(*others).alias("_row"), _packed(F.col(text_col)).alias("_z"))
@@ -220,5 +232,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n, pa.int32())], ["text", "n"])
 
     joined = packed.join(found, ["_k", "_t"], "left").withColumn("_r", rest("_z", "gone"))
-    extra = [F.col("_r.n").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near")] if counts else []
-    return joined.select(*[F.col("_r.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names if not counts or c not in ("n_lines", "n_dropped", "n_near")], *extra)
+    told = F.struct(F.col("_r.n").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    extra = [] if counts is None else [told.alias(counts)]
+    return joined.select(*[F.col("_r.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names], *extra)

@@ -44,6 +44,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def id_key(df: DataFrame, id_col: str) -> Column:
+    """An id as a key that is never null and orders null last: a number where ids are whole numbers, else a struct."""
+    kind = dict(df.dtypes)[id_col]
+    if kind in _WHOLE:
+        return F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``; an error where ``df`` has such a column, because no operator replaces a caller's column."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {name}")
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text; null gives none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
