@@ -2,14 +2,14 @@
 
 The vocabulary is a public model file, read on the driver and broadcast (its
 size is fixed). A text is cut into chunks, a run of blanks and what follows it,
-because no piece has a blank inside; each distinct chunk of a block is encoded
-once. Candidate merges leave the agenda best score first, leftmost first, and a
-candidate is skipped when a hash of (seed, variant, chunk, place, pair) falls
-below ``dropout``: the same everywhere, on any cluster, without a generator.
-``variant`` is the document's hash modulo ``VARIANTS``, so a word is cut in
-several ways across the corpus and a new ``seed`` gives a new epoch. Characters
-outside the vocabulary, and the blank mark itself, become byte pieces, so that
-decoding gives back every text exactly.
+because no piece has a blank inside. Candidate merges of a chunk leave its agenda
+best score first, leftmost first, and a candidate is skipped when a hash of (seed,
+document, place of the chunk in the text, place in the chunk, pair) falls below
+``dropout``: the same everywhere, on any cluster, without a generator. Every
+occurrence of a word draws anew, and a new ``seed`` gives a new epoch. The agendas of
+all chunks of a block run at once, a merge of each a round. Characters outside the
+vocabulary, and the blank mark itself, become byte pieces, so that decoding gives
+back every text exactly.
 
 Defined results: null encodes to null and decodes to null; the empty text to no
 pieces; rows are encoded one by one, so ties and repeated rows agree (equal text
@@ -26,18 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.bytestext import blocks, mix, span_hashes
+from tidewell.llm.bytestext import blocks, mix
+from tidewell.llm.sqlx import unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
-BLOCK = 1 << 20
-#: Chunks a worker remembers from block to block.
-REMEMBERED = 400_000
+BLOCK = 1 << 18
 #: Chunks of more symbols are encoded with a heap, one by one.
 LONG = 64
 _MARK = "▁"
 _NONE = np.iinfo(np.int64).max
+SLOT_BITS = 19
 
 
 @dataclass
@@ -54,7 +53,8 @@ class Vocabulary:
     merged: np.ndarray = field(default=None, repr=False)
     pool: np.ndarray = field(default=None, repr=False)
     at: np.ndarray = field(default=None, repr=False)
-    known: tuple = field(default=None, repr=False)
+    slots: np.ndarray = field(default=None, repr=False)
+    crowded: np.ndarray = field(default=None, repr=False)
 
     @classmethod
     def read(cls, path: str = MODEL) -> Vocabulary:
@@ -84,7 +84,10 @@ class Vocabulary:
         spelled = [bytes([i - self.first_byte]) if self.first_byte <= i < self.first_byte + 256 else p.replace(_MARK, " ").encode() if n else b"" for i, (p, n) in enumerate(zip(self.pieces, self.normal, strict=True))]
         self.pool = np.frombuffer(b"".join(spelled), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(b) for b in spelled])])
-        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        # A pair's first guess is one slot away; only pairs of crowded slots are searched for.
+        slot = self._slot(self.keys)
+        self.slots, self.crowded = np.zeros(1 << SLOT_BITS, np.int64), np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        self.slots[slot] = np.arange(len(self.keys))
         self.char_id = chars
         return self
 
@@ -94,11 +97,21 @@ class Vocabulary:
     def __setstate__(self, state):
         self.__init__(**state)
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair's merge; rank _NONE where there is none."""
         key = left.astype(np.int64) * len(self.pieces) + right
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[i] == key) & (left >= 0) & (right >= 0)
+        slot = self._slot(key)
+        i = self.slots[slot]
+        hit = self.keys[i] == key
+        more = np.flatnonzero(self.crowded[slot] & ~hit)
+        if len(more):
+            i[more] = np.minimum(np.searchsorted(self.keys, key[more]), len(self.keys) - 1)
+            hit[more] = self.keys[i[more]] == key[more]
+        hit &= (left >= 0) & (right >= 0)
         return np.where(hit, self.ranks[i], _NONE), np.where(hit, self.merged[i], -1)
 
 
@@ -144,6 +157,22 @@ def agenda(v: Vocabulary, ids: np.ndarray, chunk: int, dropout: float) -> list[i
     return [s for s, a in zip(sym, alive, strict=True) if a]
 
 
+def _offers(v: Vocabulary, sym: np.ndarray, owner: np.ndarray, place: np.ndarray, chunk: np.ndarray, dropout: float, at: np.ndarray) -> np.ndarray:
+    """The turn of the merge of each symbol ``at`` with the next one, best first; _NONE where there is none or it is skipped."""
+    out = np.full(len(at), _NONE)
+    inside = np.flatnonzero(owner[at] == owner[at + 1])
+    i = at[inside]
+    rank, _ = v.lookup(sym[i], sym[i + 1])
+    ok = rank != _NONE
+    inside, i, rank = inside[ok], i[ok], rank[ok]
+    if dropout > 0:
+        go = ~_skipped(chunk[owner[i]], place[i], sym[i], sym[i + 1], dropout)
+        inside, i, rank = inside[go], i[go], rank[go]
+    # Ranks are below 2^20 and a chunk has at most LONG symbols: one number orders by rank, then place.
+    out[inside] = rank * (LONG + 1) + place[i]
+    return out
+
+
 def _segment(v: Vocabulary, sym: np.ndarray, size: np.ndarray, chunk: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of many chunks at once: each round makes the best merge of every chunk. (flat pieces, sizes)."""
     owner = np.repeat(np.arange(len(size)), size)
@@ -159,34 +188,33 @@ def _segment(v: Vocabulary, sym: np.ndarray, size: np.ndarray, chunk: np.ndarray
             done_place.append(np.arange(len(out)))
         rest = ~long[owner]
         sym, owner, place = sym[rest], owner[rest], place[rest]
+    sym = sym.copy()
+    order = _offers(v, sym, owner, place, chunk, dropout, np.arange(max(0, len(sym) - 1)))
+    order = np.append(order, np.full(len(sym) - len(order), _NONE))
     while len(sym):
-        same = np.flatnonzero(owner[:-1] == owner[1:])
-        rank, made = v.lookup(sym[same], sym[same + 1])
-        ok = rank != _NONE
-        same, rank, made = same[ok], rank[ok], made[ok]
-        if dropout > 0 and len(same):
-            go = ~_skipped(chunk[owner[same]], place[same], sym[same], sym[same + 1], dropout)
-            same, rank, made = same[go], rank[go], made[go]
-        active = np.zeros(len(size), bool)
-        active[owner[same]] = True
-        live = active[owner]
-        if not live.all():
+        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        width = np.diff(np.append(head, len(sym)))
+        low = np.minimum.reduceat(order, head)
+        going = low != _NONE
+        live = np.repeat(going, width)
+        if not going.all():
             done_sym.append(sym[~live])
             done_owner.append(owner[~live])
             done_place.append(place[~live])
-        if not len(same):
-            break
-        group = owner[same]
-        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        # Ranks are below 2^20 and a chunk has at most LONG symbols: one number orders by rank, then place.
-        order = rank * (LONG + 1) + place[same]
-        low = np.minimum.reduceat(order, head)
-        best = np.flatnonzero(order == np.repeat(low, np.diff(np.append(head, len(group)))))
-        sym = sym.copy()
-        sym[same[best]] = made[best]
-        keep = live
-        keep[same[best] + 1] = False
-        sym, owner, place = sym[keep], owner[keep], place[keep]
+            if not going.any():
+                break
+        best = np.flatnonzero((order == np.repeat(low, width)) & live)
+        _, made = v.lookup(sym[best], sym[best + 1])
+        sym[best] = made
+        live[best + 1] = False
+        at = np.cumsum(live) - 1
+        sym, owner, place, order = sym[live], owner[live], place[live], order[live]
+        # Only the pairs of a merged symbol with its neighbours are new.
+        new = at[best]
+        fresh = np.concatenate([new, new[new > 0] - 1])
+        order[fresh] = _NONE
+        fresh = fresh[fresh + 1 < len(sym)]
+        order[fresh] = _offers(v, sym, owner, place, chunk, dropout, fresh)
     if not done_sym:
         return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
     flat, own, at = np.concatenate(done_sym), np.concatenate(done_owner), np.concatenate(done_place)
@@ -201,7 +229,7 @@ def _stretch(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def encode_block(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces of all texts, pieces of each text). ``salt`` is the text's seed and variant, hashed."""
+    """(pieces of all texts, pieces of each text). ``salt`` is a hash of seed and document."""
     rows = len(offsets) - 1
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     text = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -227,28 +255,10 @@ def encode_block(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, salt: np.
     end = np.append(start[1:], len(stream))
     chunk_of_row = np.searchsorted(start, first)
     doc = np.repeat(np.arange(rows), np.diff(chunk_of_row))
-    key = mix(span_hashes(stream, start, end) ^ salt[doc])
-    unique, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-    known, known_at, known_size, known_ids = v.known
-    spot = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
-    hit = known[spot] == unique if len(known) else np.zeros(len(unique), bool)
-    new = np.flatnonzero(~hit)
-    size = (end - start)[where[new]]
-    code = stream[_stretch(start[where[new]], size)]
-    ids, count = _segment(v, _with_unknown(v, code), size, unique[new], dropout)
+    key = mix(salt[doc] + (start - first[doc]).astype(np.uint64))
+    ids, count = _segment(v, _with_unknown(v, stream), end - start, key, dropout)
     ids, count = _spell(v, ids, count)
-    at = np.empty(len(unique), np.int64)
-    length = np.empty(len(unique), np.int64)
-    at[hit], length[hit] = known_at[spot[hit]], known_size[spot[hit]]
-    at[new], length[new] = len(known_ids) + np.cumsum(count) - count, count
-    pool = np.concatenate([known_ids, ids])
-    out = pool[_stretch(at[inverse], length[inverse])]
-    sizes = np.concatenate([[0], np.cumsum(length[inverse])])[chunk_of_row]
-    if len(known) < REMEMBERED and len(new):
-        both = np.concatenate([known, unique[new]])
-        order = np.argsort(both, kind="stable")  # two sorted runs: a merge
-        v.known = (both[order], np.concatenate([known_at, at[new]])[order], np.concatenate([known_size, count])[order], pool)
-    return out, np.diff(sizes)
+    return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[chunk_of_row])
 
 
 def _with_unknown(v: Vocabulary, code: np.ndarray) -> np.ndarray:
@@ -280,14 +290,15 @@ def decode_rows(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str
     return [flat[a + 1 : b].decode("utf-8") if b > a else "" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, text_col: str = "text", id_col: str = "doc_id", dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS, name: str = "pieces") -> DataFrame:
-    """``docs`` with the ids of each text's pieces."""
+def encode(docs: DataFrame, *, model: str = MODEL, text_col: str = "text", id_col: str = "doc_id", dropout: float = DROPOUT, seed: int = 0, name: str = "pieces") -> DataFrame:
+    """``docs`` with the ids of each text's pieces in a new column; a column of that name is an error."""
+    unused(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
 
     @F.arrow_udf("array<int>")
-    def pieces(texts: pa.Array, variant: pa.Array) -> pa.Array:
+    def pieces(texts: pa.Array, document: pa.Array) -> pa.Array:
         v = shared.value.ready()
-        salt = mix(np.asarray(variant, np.int64).astype(np.uint64) + np.uint64(seed) * np.uint64(1 << 20) + np.uint64(1))
+        salt = mix(np.asarray(document, np.int64).view(np.uint64) ^ mix(np.array([seed & (1 << 64) - 1], np.uint64)))
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at, rows, data, offsets in blocks(texts, BLOCK):
             got, n = encode_block(v, data, offsets, salt[at : at + rows], dropout)
@@ -297,8 +308,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, text_col: str = "text", id_co
         none = np.asarray(texts.is_null())
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=pa.array(none) if none.any() else None)
 
-    variant = F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, variants)))
-    return docs.withColumn(name, pieces(F.col(text_col), variant))
+    return docs.withColumn(name, pieces(F.col(text_col), F.xxhash64(F.col(id_col))))
 
 
 def decoded(spark_df: DataFrame, column: Column, *, model: str = MODEL) -> Column:
