@@ -37,8 +37,15 @@ def test_stages(spark):
 
 
 def test_odd_and_empty_tables(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
+    own = ("lang_pred", "lang_score", "n_lines", "n_dropped", "n_near", "n_tokens", "_lang", "_told", "_mixed", "pieces")
+    for docs in (odd_docs.withColumns({c: F.lit("mine") for c in own}), no_docs, odd_docs.drop("n_chars")):
         df = docs
         for name, stage in P.STAGES:
-            df = materialize(stage(spark, df, SF), name)
-        assert df.count() <= docs.count()
+            before, df = df, materialize(stage(spark, df, SF), name)
+            assert df.count() <= before.count()
+            if name != "encode":
+                assert df.columns == docs.columns and df.join(before, "doc_id", "left_anti").where("doc_id is not null").count() == 0
+                # No stage touches a caller's column.
+                assert all(r[c] == before_value for r in df.collect() for c, before_value in (("p", "p"), ("topic", "t"), ("kept", "y"), *((c, "mine") for c in own if c in docs.columns)))
+            if name == "language":
+                assert all(any(ch.isalpha() for ch in r["text"] or "") for r in df.collect())

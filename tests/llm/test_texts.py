@@ -174,6 +174,16 @@ def test_codec_gives_back_every_text(spark, docs, odd_docs, no_docs):
     assert sum(a[k] != b[k] for k in a) > 0.9 * len(a)
     assert {r["doc_id"]: r["pieces"] for r in sentencepiece_codec.encode(docs.repartition(7), seed=1).collect()} == a
     assert sentencepiece_codec.encode(no_docs).count() == 0
+    # Every occurrence of a word draws anew, in one text and in different ones.
+    same = spark.createDataFrame([(k, "international " * 200) for k in range(3)], "doc_id bigint, text string")
+    pieces = sentencepiece_codec.Vocabulary.read().pieces
+    cuts = []
+    for r in sentencepiece_codec.encode(same).collect():
+        cuts.append({tuple(w.split("|")) for w in "|".join(pieces[i] for i in r["pieces"]).split("|▁")})
+        assert len(cuts[-1]) > 8
+    assert len(set.union(*cuts)) > len(cuts[0])
+    with pytest.raises(ValueError, match="doc_id"):
+        sentencepiece_codec.encode(docs, name="doc_id")
 
 
 def test_fingerprints_of_edited_texts(spark, docs, odd_docs, no_docs):
@@ -216,18 +226,64 @@ def test_raking_meets_the_marginals():
 
 
 def test_mixing_by_tables_and_on_the_driver_agree(spark, docs, odd_docs, no_docs):
-    table = mixing.materialize(mixing.cells(mixing.described(docs)), "cells")
+    rng = random.Random(9)
+    rows = [(a, b, str(c), rng.randrange(0, 4000)) for a in "pqrs" for b in ("en", "de", "fr") for c in range(4)]
+    table = mixing.materialize(spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint").withColumn("docs", F.lit(1)), "cells")
     key = lambda df: {(r["source"], r["lang"], r["topic"]): r["p"] for r in df.collect()}
-    a, b = key(mixing.probabilities(table)), key(mixing._distributed(table, mixing.SHARE, mixing.TEMPER, {}, steps=8))
-    rows = {(r["source"], r["lang"], r["topic"]): r["tokens"] for r in table.collect()}
-    assert a.keys() == b.keys()
-    for p in (a, b):
-        assert abs(sum(rows[k] * p[k] for k in p) / sum(rows.values()) - mixing.SHARE) < 1e-3
+    for share in (0.3, 0.9):
+        a, b = key(mixing.probabilities(table, share=share)), key(mixing.probabilities(table, share=share, max_cells=3))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-7 for k in a)
+        assert abs(sum(r[3] * a[r[:3]] for r in rows) / sum(r[3] for r in rows) - share) < 1e-7
     out = mixing.mix(odd_docs)
-    assert out.count() == odd_docs.count() and out.where("p is null or kept is null").count() == 0
+    assert out.columns == [*odd_docs.columns, "mixed"] and out.where("p <> 'p' or topic <> 't' or kept <> 'y'").count() == 0
+    assert out.count() == odd_docs.count() and out.where("mixed.p is null or mixed.kept is null").count() == 0
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_of_the_supplied_documents_is_the_plain_version(spark, docs):
+    """Each row's probability and lot, worked out again from the query's own tokens and topics."""
+    rows = registry.op6_mixing(spark, SF).collect()
+    cell = lambda r: (r["source"] or mixing.NONE, r["lang"] or mixing.NONE, str(r["topic"]))
+    tokens = {}
+    for r in rows:
+        tokens[cell(r)] = tokens.get(cell(r), 0) + r["n_tokens"]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert all(r["n_tokens"] == len(WORD.findall(texts[r["doc_id"]])) for r in rows)
+    total, w = sum(tokens.values()), {k: float(v) for k, v in tokens.items()}
+    goals = []
+    for d, c in enumerate(mixing.DIMENSIONS):
+        now = {}
+        for k, v in tokens.items():
+            now[k[d]] = now.get(k[d], 0) + v
+        raised = {k: v ** mixing.TEMPER[c] for k, v in now.items() if v}
+        goals.append({k: v / sum(raised.values()) * total for k, v in raised.items()})
+    for _ in range(200):
+        for d in range(3):
+            now = {}
+            for k, v in w.items():
+                now[k[d]] = now.get(k[d], 0) + v
+            w = {k: v * goals[d][k[d]] / now[k[d]] if v else 0.0 for k, v in w.items()}
+    low, high = 0.0, 1e6
+    rate = {k: w[k] / tokens[k] for k in w if tokens[k]}
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(tokens[k] * min(1, mid * rate[k]) for k in rate) < mixing.SHARE * total else (low, mid)
+    assert all(abs(r["p"] - (min(1, high * rate[cell(r)]) if cell(r) in rate else mixing.SHARE)) < 1e-6 for r in rows)
+    lot = {r["doc_id"]: (r["h"] % (1 << 64) >> 11) / 2**53 for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+    assert all(r["kept"] == (lot[r["doc_id"]] < r["p"]) for r in rows if abs(lot[r["doc_id"]] - r["p"]) > 1e-6)
+
+
+def test_topics_tell_vocabularies_apart(spark):
+    rng = random.Random(2)
+    themes = [[f"{name}{i}word" for i in range(60)] for name in ("sea", "law", "code")]
+    rows = [(k, " ".join(rng.choice(themes[k % 3]) for _ in range(80))) for k in range(90)] + [(900, None), (901, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["seen"]["topic"] for r in mixing.described(df, mixing.fit_topics(df, topics=3)).collect()}
+    assert len({got[0], got[1], got[2]}) == 3 and all(got[k] == got[k % 3] for k in range(90)) and got[900] == got[901] == -1
+    given = mixing.described(df.withColumn("t", F.lit("mine")), None, topic_col="t").first()["seen"]
+    assert given["topic"] == "mine" and given["n_tokens"] > 0
+
+
 def test_pages_of_several_templates(spark):
     page = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header><nav><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul></nav></header>
     <div class="sidebar"><p>Side {n}</p></div><main><article class="post"><header><h1>Title &amp; {n}</h1><p>by staff</p></header><p>First <b>bold</b>   text {n}.<p>Second&nbsp;par<br>agraph {n}</p>

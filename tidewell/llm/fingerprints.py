@@ -12,7 +12,7 @@ empty fingerprints have likeness 1.
 ``next_in_order`` gives each row the next row in descending id, the first after
 the last, without a global window: ids alone are range-partitioned and numbered.
 Rows with one id are ordered by the hash of the text; rows equal in id and text
-count as one document; null ids come last; an empty table gives no rows.
+count as one document; ids are whole numbers, null ids come last; an empty table gives no rows.
 """
 
 from __future__ import annotations

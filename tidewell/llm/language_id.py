@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, row_sums
-from tidewell.llm.sqlx import fresh
+from tidewell.llm.sqlx import fresh, unused
 
 #: Families of closely related languages. A language not listed is its own family.
 FAMILIES = {
@@ -219,7 +219,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "lang_score") -> DataFrame:
-    """``docs`` with two more columns: the language and its score, 0 to 1."""
+    """``docs`` with two new columns: the language and its score, 0 to 1."""
+    unused(docs, lang_as), unused(docs, score_as)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -231,9 +232,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_as:
     return docs.withColumn(at, judge(F.col(text_col))).withColumns({lang_as: F.col(at)["lang"], score_as: F.col(at)["score"]}).drop(at)
 
 
-def accepted(judged: DataFrame, *, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose language is known well enough."""
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= min_score)).drop("lang_pred", "lang_score")
+def accepted(judged: DataFrame, *, lang_col: str = "lang_pred", score_col: str = "lang_score", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose language is known well enough, without the two columns that tell it."""
+    return judged.where((F.col(lang_col) != UNKNOWN) & (F.col(score_col) >= min_score)).drop(lang_col, score_col)
 
 
 def held_out(part: int, remainder: int, id_col: str = "doc_id"):

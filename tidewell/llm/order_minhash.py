@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, word_hashes
 from tidewell.llm.graph import components
+from tidewell.llm.sqlx import id_key
 from tidewell.session import checkpoint_dir, materialize
 
 SHINGLE = 5
@@ -51,7 +52,6 @@ BAND = 0.25
 BINS = 1 << 18
 #: Bits of the parity map that bounds what two texts have in common.
 MAP = 256
-_NULL_ID = -(1 << 63)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -341,10 +341,9 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_likeness: float = MIN_LIKENESS) -> DataFrame:
     """``docs`` with one row of each class: the one with the class's smallest id (null only if all are)."""
-    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(_NULL_ID)).alias("_k")
     # By class, not by id: unlike texts may have one id or none.
     first = _classes(docs, id_col, text_col, min_likeness).groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("f")).select("f.id", "f.node")
-    stay = first.select(key("id"), F.col("node").alias("_n"))
+    stay = first.select(id_key(first, "id").alias("_k"), F.col("node").alias("_n"))
     # The row travels as one struct, so none of its names can clash.
-    marked = docs.select(key(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"), F.struct(*docs.columns).alias("_row"))
+    marked = docs.select(id_key(docs, id_col).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"), F.struct(*docs.columns).alias("_row"))
     return marked.join(stay, ["_k", "_n"], "left_semi").dropDuplicates(["_k", "_n"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

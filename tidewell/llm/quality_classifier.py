@@ -10,8 +10,8 @@ What reaches the driver has the same size for every corpus.
 
 Defined results: a null text counts as empty; an empty text has the statistics
 of zero words and gets a score like any other; several labels of one id are
-averaged, null labels and labels of null ids are ignored; without labels every
-score is 0.5; rows are scored one by one, so ties and repeated rows score alike.
+averaged, null labels and labels of null ids are ignored; without labels, or where
+none of the few there are is set aside for the calibration, every score is 0.5; rows are scored one by one, so ties and repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, row_sums, span_hashes, word_spans
+from tidewell.llm.sqlx import unused
 from tidewell.session import materialize
 
 NAMES = ("log_words", "log_bytes", "word_length", "symbols", "upper", "digits", "stops", "bangs", "bars", "new_words", "repeats", "lines", "new_lines", "wide", "dots")
@@ -43,7 +44,6 @@ def _mask(chars: str) -> np.ndarray:
 
 
 _CLASSES = [_mask("#*$%&<>@^~=_{}[]\\/"), _mask("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _mask("0123456789"), _mask(".,;:"), _mask("!?"), _mask("|")]
-_TABLE = np.stack(_CLASSES, 1).astype(np.float32)
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -114,7 +114,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats"
         rows = statistics(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(NAMES)), pa.int32()), pa.array(rows.ravel()))
 
-    return docs.withColumn(name, stats(F.col(text_col)))
+    return docs.withColumn(unused(docs, name), stats(F.col(text_col)))
 
 
 def isotonic(at: np.ndarray, hits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +178,7 @@ def fit(described: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", labe
 
 def score(described: DataFrame, model: Model | None, *, stats_col: str = "stats", name: str = "score") -> DataFrame:
     """``described`` with the calibrated score, 0 to 1."""
+    unused(described, name)
     if model is None:
         return described.withColumn(name, F.lit(0.5))
 

@@ -15,8 +15,8 @@ from tidewell.session import load, materialize
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    rest = line_dedup.dedup(docs, counts=True)
-    return rest.select("doc_id", "n_lines", "n_dropped", "n_near", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    rest = line_dedup.dedup(docs, counts="told")
+    return rest.select("doc_id", "told.n_lines", "told.n_dropped", "told.n_near", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p", 9).alias("p"), "kept")
+    return mixed.select("doc_id", "source", "lang", "mixed.topic", "mixed.n_tokens", F.round("mixed.p", 9).alias("p"), "mixed.kept")
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
