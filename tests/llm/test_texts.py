@@ -311,7 +311,44 @@ def test_supplied_pages_give_their_articles(spark):
         assert got[r["page_id"]] == "\n\n".join(x for x in want if x)
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_article_text_is_kept_whatever_names_and_repeats(spark):
+    page = "<html><body class='single single-post has-sidebar'><nav><a href=/>Home</a></nav><article class='post share'><h1>Daily report</h1><p title=\"a > b\">Of day {n} much is told.</p><p>Same words.</p></article><footer>foot</footer>"
+    for many in (1, 2, 4, 6):
+        assert extracted(spark, [("https://x.example.org/a", page.replace("{n}", str(i))) for i in range(many)]) == [f"Daily report\n\nOf day {i} much is told.\n\nSame words." for i in range(many)]
+    assert extracted(spark, [("https://x.example.org/a", page)] * 6) == ["Daily report\n\nOf day {n} much is told.\n\nSame words."] * 6
+    five = "<body><article><h2>T</h2><ul>" + "<li>eq" * 5 + "</ul><p>tail {n}</article>"
+    assert extracted(spark, [("https://y.example.org/", five.replace("{n}", str(i))) for i in range(3)]) == ["\n\n".join(["T", *["eq"] * 5, f"tail {i}"]) for i in range(3)]
+
+
+def test_pages_without_an_article_element(spark):
+    page = """<body><div><p>Welcome to the site of this and that.</p></div><div><h1>Head {n}</h1><div><p>First {n} goes on for a while with many words in it.</p><div><p>Inner {n}</p></div><p>Last {n} with a few more words again.</p></div></div>
+    <div><p>Ask us {n}</p></div><div class="comments"><p>a very long comment by a reader, longer than the article itself, {n} and on and on and on and on and on and on and on and on and on and on</p></div></body>"""
+    got = extracted(spark, [("https://z.example.org/", page.replace("{n}", str(i))) for i in range(5)])
+    assert got == [f"Head {i}\n\nFirst {i} goes on for a while with many words in it.\n\nInner {i}\n\nLast {i} with a few more words again." for i in range(5)]
+
+
+def test_folds_are_balanced_and_of_any_length(spark):
+    unit = "".join(f"<section><h3>a</h3><div><p>x{i}</p></div></section><ol><li>u</ol>" if i % 3 else f"<dl><dt>t<dd>x{i}</dl>" for i in range(12))
+    nodes, blocks = html_extract.parse("<body>" + unit * 3 + "<p>end")
+    syms = [x[0] for x in nodes]
+    depth = np.cumsum([0 if "#" in s or "@" in s else -1 if s == "/" else 1 for s in syms])
+    assert depth[-1] == 0 and (depth >= 0).all() and sum(x[1] for x in nodes) == sum(x[2] for x in nodes) > 0
+    assert len(blocks) == 3 * (8 * 3 + 4 * 2) + 1 and all("#" in syms[k] for k, _ in blocks)
+    assert len(nodes) < 60
+
+
+def test_many_streams_of_one_host(spark):
+    pages = [("https://h.example.org/", "<body><nav><a href=/>N</a></nav><article><h1>T</h1>" + "".join(f"<p>p {i} {j}</p><{'ul' if i >> j & 1 else 'ol'}><li>q</{'ul' if i >> j & 1 else 'ol'}>" for j in range(7)) + "</article>") for i in range(128)]
+    got = extracted(spark, pages)
+    assert got == ["\n\n".join(["T", *(x for j in range(7) for x in (f"p {i} {j}", "q"))]) for i in range(128)]
+
+
 def test_wrappers_are_union_free(spark):
     a, b = "html body div p#0 / / /", "html body div (p#0)+ ul (li#0)+ / / / /"
-    nodes = lambda s: [{"sym": x, "opens": o, "closes": c, "optional": False, "low": k, "high": k + 1, "pages": 1} for k, (x, o, c) in enumerate(html_extract.read(s))]
+    nodes = lambda s: [{"sym": x, "opens": o, "closes": c, "optional": False, "low": k, "high": k + 1, "first": 1, "last": 2, "chars": 5} for k, (x, o, c) in enumerate(html_extract.read(s))]
     assert html_extract.express(html_extract.align(nodes(a), nodes(b))) == "html body div (p#0)+ ul? (li#0)+? / / / /?"

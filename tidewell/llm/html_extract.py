@@ -1,17 +1,21 @@
 """Main-text extraction with wrappers inferred from pages of one host.
 
-A page becomes a stream of block tokens: container tags, and text slots named by
-their tag, by whether they are link text, and by where they stand (inside an
-article, plain, or inside a menu, advert, form and the like). Runs of one token
-and tandem repeats of several are folded into repeated groups. The distinct
-streams of a host, counted, are aligned one after another into a union-free
-regular expression: tokens that both have stay, a mismatch becomes an optional
-group, a repeat on either side a repeated group, a text that differs between
-pages a field and a text that never does a part of the template. Streams are
-merged in ``SHARDS`` parts a host and the parts then with each other, so no task
-sees more of a host than its distinct streams in one part. The text of a page is
-its fields inside the article (or its plain fields where the host's stream has
-no article), in page order.
+A page becomes a tree of block elements whose leaves are text slots, named by their
+tag and by whether they are link text. Among the children of an element, repeats of
+one child or of several in a row are folded into repeated groups, whatever their
+length. The distinct trees of a host, written as token streams, are aligned one after
+another into a union-free regular expression: tokens that both have stay, a mismatch
+becomes an optional group, a repeat on either side a repeated group. A text slot that
+differs between pages is a field; one that is equal on pages that differ is template.
+Streams are merged in groups of ``FAN`` and the groups' wrappers again in groups of
+``FAN``, so no task holds more of a host than that.
+
+The wrapper then chooses: beginning at the page, it goes down into the element that
+holds most of the fields' text, as long as one does and leaves no heading behind. The
+text of a page is what its slots in that element hold, in page order. Element and
+class names decide what is a menu, form, advert or comment inside it and weigh where
+texts are about as long; they are not looked at on html, body, article and main.
+Inside an article no text is dropped for repeating.
 
 Defined results: null or empty html gives an empty text; markup that is never
 closed ends with the page; a url without a host belongs to the host ''. Pages
@@ -26,16 +30,19 @@ import json
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import materialize
 
-SHARDS = 16
-#: Pages from which a text that never varies counts as a part of the template.
-MIN_PAGES = 5
-MAX_UNIT = 8
+#: Streams, or wrappers of groups of streams, that one task merges.
+FAN = 32
+#: Share of an element's field text that one child must hold to be gone into.
+HOLDS = 0.6
+#: Weight of field text in an article, and in what its tag or name calls the main part.
+ARTICLE, MAIN = 10, 3
 
 #: Element classes of HTML and the names pages give to what is not the article.
 _RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|head"
@@ -43,10 +50,11 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _LEAF_CLOSERS = frozenset("p li dt dd tr td th option".split())
 _AWAY = frozenset("nav aside footer form menu dialog button fieldset header".split())
 _HOME = frozenset(("article", "main"))
+_PLAIN = _HOME | {"html", "body"}
 _AWAY_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|reply|replies|disqus|widget|pagination|pager|tags|toc|legal|disclaimer|copyright)(?:$|[\s_-])", re.I)
 _HOME_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|post(?:-?body|-?content)?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>[^>]*)>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>", re.S | re.I)
 _NAME = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -54,9 +62,8 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
     """(nodes, blocks): the folded token stream, and each text with the node it fills.
 
     A node is [symbol, opens, closes]: groups that start and end at it."""
-    stream: list[str] = []
-    blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, str]] = [("", "0")]
+    texts: list[str] = []
+    stack: list[tuple[str, str, list]] = [("", "0", [])]  # tag, place, folded children
     inner: list[str] = []
     linked = link = 0
 
@@ -64,19 +71,28 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(inner)).split())
         if text:
-            tag, place = stack[-1]
+            tag, place, children = stack[-1]
             place = "1" if place == "h" and tag[:1] == "h" and tag[1:].isdigit() else "2" if place == "h" else place
-            blocks.append((len(stream), text))
-            stream.append(f"{tag}{'@' if 2 * linked > len(text) else '#'}{place}")
+            sym = f"{tag}{'@' if 2 * linked > len(text) else '#'}{place}"
+            children.append((sym, [[sym, 0, 0, [len(texts)]]]))
+            texts.append(text)
         inner.clear()
         linked = 0
 
+    def shut() -> None:
+        tag, place, children = stack.pop()
+        children = _folded(children)
+        if len(children) == 1 and len(children[0][1]) == 1 and tag not in _PLAIN and children[0][1][0][0].startswith((tag + "#", tag + "@")):
+            stack[-1][2].append(children[0])
+            return
+        sym = tag + (":" + place if place != "0" else "")
+        tokens = [[sym, 0, 0, []], *(t for _, own in children for t in own), ["/", 0, 0, []]]
+        stack[-1][2].append((" ".join((sym, *(s for s, _ in children), "/")), tokens))
+
     def close(tag: str) -> None:
         while stack[-1][0] != tag:
-            stack.pop()
-            stream.append("/")
-        stack.pop()
-        stream.append("/")
+            shut()
+        shut()
 
     at = 0
     page = page or ""
@@ -85,75 +101,81 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
             inner.append(page[at : m.start()])
             linked += link and m.start() - at
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
+        end, attr = m["end"] or m["end2"], m["attr"] or ""
         if tag in _INLINE:
             if tag == "a":
-                link = 0 if m["end"] else 1
+                link = 0 if end else 1
             elif tag == "br":
                 inner.append(" ")
             continue
         flush()
         link = 0
-        if m["end"]:
-            if any(t == tag for t, _ in stack):
+        if end:
+            if any(t[0] == tag for t in stack):
                 close(tag)
             continue
-        if tag in ("hr",) or m["attr"].endswith("/") and tag not in ("p", "div", "article", "section"):
+        if tag in ("hr",) or attr.endswith("/") and tag not in ("p", "div", "article", "section"):
             continue
-        if tag in _LEAF_CLOSERS and any(t == tag for t, _ in stack):
-            depth = max(i for i, (t, _) in enumerate(stack) if t == tag)
-            if not any(t in ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote") for t, _ in stack[depth + 1 :]):
+        if tag in _LEAF_CLOSERS and any(t[0] == tag for t in stack):
+            depth = max(i for i, t in enumerate(stack) if t[0] == tag)
+            if not any(t[0] in ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote") for t in stack[depth + 1 :]):
                 close(tag)
         elif stack[-1][0] == "p":
             close("p")
-        name = " ".join(a or b or c for a, b, c in _NAME.findall(m["attr"])) if m["attr"] else ""
+        name = " ".join(a or b or c for a, b, c in _NAME.findall(attr)) if attr and tag not in _PLAIN else ""
         place = stack[-1][1]
         if place != "2":
             if tag == "header" and place == "1":
                 place = "h"
-            elif tag in _AWAY or name and _AWAY_NAME.search(name) or m["attr"] and _HIDDEN.search(m["attr"]):
+            elif tag in _AWAY or name and _AWAY_NAME.search(name) or attr and _HIDDEN.search(attr):
                 place = "2"
-            elif place == "0" and (tag in _HOME or name and tag != "body" and _HOME_NAME.search(name)):
+            elif place == "0" and (tag in _HOME or name and _HOME_NAME.search(name)):
                 place = "1"
-        stack.append((tag, place))
-        stream.append(tag + (":" + place if place != "0" else ""))
+        stack.append((tag, place, []))
     if at < len(page):
         inner.append(page[at:])
     flush()
-    stream += "/" * (len(stack) - 1)
-    return _fold(stream, blocks)
-
-
-def _fold(stream: list[str], blocks: list[tuple[int, str]]) -> tuple[list[list], list[tuple[int, str]]]:
-    """Fold leaves, runs and tandem repeats; blocks then name the folded nodes."""
-    nodes: list[list] = []  # symbol, opens, closes, places in the stream
-    i, n = 0, len(stream)
-    while i < n:
-        leaf = i + 2 < n and stream[i + 2] == "/" and ("#" in stream[i + 1] or "@" in stream[i + 1])
-        sym, places, i = (stream[i + 1], [i + 1], i + 3) if leaf else (stream[i], [i], i + 1)
-        if nodes and sym == nodes[-1][0] and ("#" in sym or "@" in sym):
-            nodes[-1][1], nodes[-1][2] = 1, 1
-            nodes[-1][3] += places
-        else:
-            nodes.append([sym, 0, 0, places])
-    for unit in range(2, MAX_UNIT + 1):
-        i = 0
-        while i + 2 * unit <= len(nodes):
-            a, b = nodes[i : i + unit], nodes[i + unit : i + 2 * unit]
-            if all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
-                for x, y in zip(a, b, strict=True):
-                    x[1], x[2] = max(x[1], y[1]), max(x[2], y[2])
-                    x[3] += y[3]
-                if not a[0][1] or not a[-1][2]:
-                    a[0][1] += 1
-                    a[-1][2] += 1
-                del nodes[i + unit : i + 2 * unit]
-            else:
-                i += 1
+    while len(stack) > 1:
+        shut()
+    nodes = [t for _, own in _folded(stack[0][2]) for t in own]
     of = {p: k for k, node in enumerate(nodes) for p in node[3]}
-    return [x[:3] for x in nodes], [(of[p], text) for p, text in blocks]
+    return [x[:3] for x in nodes], [(of[p], text) for p, text in enumerate(texts)]
+
+
+def _folded(children: list[tuple[str, list]]) -> list[tuple[str, list]]:
+    """An element's children with every repeat of one or of several in a row as one repeated group."""
+    unit = 1
+    while 2 * unit <= len(children):
+        code: dict[str, int] = {}
+        ids = np.array([code.setdefault(s, len(code)) for s, _ in children])
+        same = np.concatenate([[0], np.cumsum(ids[:-unit] == ids[unit:])])
+        hits = np.flatnonzero(same[unit:] - same[:-unit] == unit)
+        out, at = [], 0
+        for start in hits.tolist():
+            if start < at:
+                continue
+            out += children[at:start]
+            stop = start + unit
+            group = [(s, [[t[0], t[1], t[2], list(t[3])] for t in own]) for s, own in children[start:stop]]
+            while stop + unit <= len(children) and (ids[start : start + unit] == ids[stop : stop + unit]).all():
+                for (_, mine), (_, other) in zip(group, children[stop : stop + unit], strict=True):
+                    for x, y in zip(mine, other, strict=True):
+                        x[3] += y[3]
+                stop += unit
+            first, last = group[0][1][0], group[-1][1][-1]
+            if not (first[1] and last[2] and unit == 1):
+                first[1] += 1
+                last[2] += 1
+                group[0] = ("(" + group[0][0], group[0][1])
+                group[-1] = (group[-1][0] + ")+", group[-1][1])
+            out += group
+            at = stop
+        children = out + children[at:]
+        unit += 1
+    return children
 
 
 def spell(nodes: list[list]) -> str:
@@ -181,15 +203,20 @@ def align(wrapper: list[dict], other: list[dict]) -> list[dict]:
     for kind, a, b, c, d in same.get_opcodes():
         if kind == "equal":
             for x, y in zip(wrapper[a:b], other[c:d], strict=True):
-                out.append({
-                    "sym": x["sym"], "opens": max(x["opens"], y["opens"]), "closes": max(x["closes"], y["closes"]), "optional": x["optional"] or y["optional"],
-                    "low": min(x["low"], y["low"]), "high": max(x["high"], y["high"]), "pages": x["pages"] + y["pages"],
-                })
+                joined = {k: _JOINS[k](v, y[k]) for k, v in x.items() if k in _JOINS}
+                if x["chars"] == 0 or y["chars"] == 0:  # one of them holds no text
+                    full = x if x["chars"] else y
+                    joined |= {k: full[k] for k in ("low", "high", "first", "last")}
+                out.append({"sym": x["sym"], **joined})
         else:
             out += [x | {"optional": True} for x in (*wrapper[a:b], *other[c:d])]
     return out
 
 
+#: What is known of a token: groups, whether it can be absent, hashes of its texts and of the pages that have it, code points.
+_JOINS = {"opens": max, "closes": max, "optional": max, "low": min, "high": max, "first": min, "last": max, "chars": int.__add__}
+
+
 def express(wrapper: list[dict]) -> str:
     """The wrapper for reading: ( )? optional, ( )+ repeated, # and @ text slots."""
     return " ".join(("(" * x["opens"] + x["sym"] + ")+" * x["closes"]) + ("?" if x["optional"] else "") for x in wrapper)
@@ -197,17 +224,39 @@ def express(wrapper: list[dict]) -> str:
 
 def kept_slots(nodes: list[str], wrapper: list[dict]) -> list[bool]:
     """Which nodes of a stream hold the article, by its host's wrapper."""
-    fields = [x["low"] != x["high"] for x in wrapper if "#" in x["sym"]]
-    constant = [False] * len(nodes)
-    if any(fields):
-        for kind, a, b, c, _ in SequenceMatcher(None, [x["sym"] for x in wrapper], nodes, autojunk=False).get_opcodes():
-            if kind == "equal":
-                for k in range(b - a):
-                    w = wrapper[a + k]
-                    constant[c + k] = w["pages"] >= MIN_PAGES and w["low"] == w["high"]
-    home = any(s.endswith("1") and ("#" in s or "@" in s) for s in nodes)
-    want = ("#1", "@1") if home else ("#0",)
-    return [s.endswith(want) and not constant[k] for k, s in enumerate(nodes)]
+    known: list[dict | None] = [None] * len(nodes)
+    for kind, a, b, c, _ in SequenceMatcher(None, [x["sym"] for x in wrapper], nodes, autojunk=False).get_opcodes():
+        if kind == "equal":
+            known[c : c + b - a] = wrapper[a:b]
+    slot = ["#" in s or "@" in s for s in nodes]
+    template = [w is not None and w["chars"] > 0 and w["low"] == w["high"] and w["first"] != w["last"] for w in known]
+    # Elements: their place among the nodes, parent, end, and the weighted text of the fields they hold.
+    parent, end, mass, open_at = [-1] * len(nodes), [len(nodes)] * len(nodes), [0.0] * (len(nodes) + 1), []
+    heading: list[int] = []
+    for k, s in enumerate(nodes):
+        if s == "/":
+            end[open_at.pop()] = k
+        elif not slot[k]:
+            parent[k] = open_at[-1] if open_at else -1
+            open_at.append(k)
+        elif "#" in s and not s.endswith("2") and not template[k]:
+            weight = ARTICLE if any(nodes[i].startswith("article") for i in open_at) else MAIN if s.endswith("1") else 1
+            mass[-1] += weight * (known[k]["chars"] if known[k] else 1)
+            for i in open_at:
+                mass[i] += weight * (known[k]["chars"] if known[k] else 1)
+            if s[0] == "h" and s[1:2].isdigit():
+                heading.append(k)
+    here = -1
+    while mass[here] > 0 and not (here >= 0 and nodes[here].startswith("article")):
+        inside = [k for k in range(len(nodes)) if parent[k] == here and not slot[k] and nodes[k] != "/" and not nodes[k].endswith(":2")]
+        best = max(inside, key=lambda k: mass[k], default=None)
+        start, stop = (here, end[here]) if here >= 0 else (-1, len(nodes))
+        if best is None or mass[best] < HOLDS * mass[here] or any(start < k < stop and not best < k < end[best] for k in heading):
+            break
+        here = best
+    start, stop = (here, end[here]) if here >= 0 else (-1, len(nodes))
+    home = here >= 0 and nodes[here].split(":")[0] in _HOME
+    return [slot[k] and start < k < stop and not s.endswith("2") and (home or s.endswith("1") or "#" in s and not template[k]) for k, s in enumerate(nodes)]
 
 
 def host(url: Column) -> Column:
@@ -237,18 +286,18 @@ def infer_wrappers(read_pages: DataFrame) -> DataFrame:
     """(_host, _s, wrapper, keep): for each distinct stream of a host its wrapper and the slots to keep.
 
     ``read_pages`` is what ``parsed`` gives: ``_host`` and ``_p``."""
-    filled = read_pages.select("_host", F.col("_p.stream").alias("stream"), F.explode_outer("_p.blocks").alias("b")).groupBy("_host", "stream", F.col("b.slot").alias("slot")).agg(
-        F.min(F.xxhash64("b.text")).alias("low"), F.max(F.xxhash64("b.text")).alias("high"), F.count(F.lit(1)).alias("pages")
-    )
-    streams = materialize(
-        filled.groupBy("_host", F.xxhash64("stream").alias("_s"), "stream").agg(F.collect_list(F.struct("slot", "low", "high", "pages")).alias("slots")), "streams"
+    page = F.xxhash64("_p.blocks").alias("page")
+    filled = read_pages.select("_host", F.col("_p.stream").alias("stream"), page, F.explode_outer("_p.blocks").alias("b")).groupBy("_host", "stream", F.col("b.slot").alias("slot")).agg(
+        F.min(F.xxhash64("b.text")).alias("low"), F.max(F.xxhash64("b.text")).alias("high"), F.min("page").alias("first"), F.max("page").alias("last"), F.sum(F.char_length("b.text")).alias("chars")
     )
+    known = ("low", "high", "first", "last", "chars")
+    streams = materialize(filled.groupBy("_host", F.xxhash64("stream").alias("_s"), "stream").agg(F.collect_list(F.struct("slot", *known)).alias("slots")), "streams")
 
     def merge(rows: pa.Table) -> pa.Table:
         wrapper: list[dict] = []
         for text in sorted((v.as_py() for v in rows["part"]), key=lambda t: (-len(t), t)):
             wrapper = align(wrapper, json.loads(text))
-        return pa.table({"_host": rows["_host"][:1], "part": pa.array([json.dumps(wrapper)])})
+        return pa.table({"_host": rows["_host"][:1], "turn": pa.array([min(rows["turn"].to_pylist()) // FAN], pa.int64()), "part": pa.array([json.dumps(wrapper)])})
 
     @F.arrow_udf("string")
     def as_wrapper(stream: pa.Array, slots: pa.Array) -> pa.Array:
@@ -257,15 +306,24 @@ def infer_wrappers(read_pages: DataFrame) -> DataFrame:
             known = {r["slot"]: r for r in filled_slots.as_py() if r["slot"] is not None}
             nodes = []
             for k, (sym, opens, closes) in enumerate(read(s.as_py())):
-                r = known.get(k)
-                nodes.append({"sym": sym, "opens": opens, "closes": closes, "optional": False, "low": r["low"] if r else 0, "high": r["high"] if r else 0, "pages": r["pages"] if r else 0})
+                nodes.append({"sym": sym, "opens": opens, "closes": closes, "optional": False, **{c: known[k][c] if k in known else 0 for c in ("low", "high", "first", "last", "chars")}})
             out.append(json.dumps(nodes))
         return pa.array(out, pa.string())
 
-    schema = "_host string, part string"
-    single = streams.select("_host", F.pmod("_s", F.lit(SHARDS)).alias("shard"), as_wrapper("stream", "slots").alias("part"))
-    parts = single.groupBy("_host", "shard").applyInArrow(lambda t: merge(t), schema)
-    whole = parts.groupBy("_host").applyInArrow(lambda t: merge(t), schema)
+    # Distinct streams of a host are numbered; a task merges FAN of them, then FAN of those wrappers, until one is left.
+    # A window a host is over distinct streams only, one long each; the parts are made after it.
+    turn = (F.row_number().over(Window.partitionBy("_host").orderBy("_s")) - 1).cast("long").alias("turn")
+    numbered = streams.select("_host", "_s").select("_host", "_s", turn)
+    parts = streams.join(numbered, ["_host", "_s"]).select("_host", "turn", as_wrapper("stream", "slots").alias("part"))
+    left = numbered.agg(F.max("turn")).first()[0] or 0
+    schema = "_host string, turn long, part string"
+    while True:
+        parts = parts.groupBy("_host", F.floor(F.col("turn") / FAN)).applyInArrow(lambda t: merge(t), schema)
+        left //= FAN
+        if not left:
+            break
+        parts = materialize(parts, "parts")
+    whole = parts.select("_host", "part")
 
     @F.arrow_udf("struct<wrapper:string,keep:array<boolean>>")
     def decide(stream: pa.Array, part: pa.Array) -> pa.Array:
