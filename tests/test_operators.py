@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import dates as D
@@ -55,7 +56,7 @@ def test_representative_of_a_cycle(spark):
 
 def forecast(spark, rows, signals=(), as_of=dt.date(2024, 6, 1)):
     roles = spark.createDataFrame([(r, 1 if r < 10 else 2, "software", "internship", "summer") for r in (1, 2, 3, 11)], "role_id bigint, company_id bigint, family string, level string, season string")
-    s = spark.createDataFrame(list(signals), "role_id bigint, observed_on date, direction string, strength double, reliability double")
+    s = spark.createDataFrame(list(signals), "role_id bigint, observed_on date, direction string, strength double, reliability double").withColumn("kind", F.lit("post"))
     scale = spark.createDataFrame([(1, 0.5), (2, 0.9)], "company_id bigint, scale double")
     out = M.forecast(roles, C.collapse(C.assign(spark.createDataFrame(rows, OPENING))), s, scale, as_of)
     return {r["role_id"]: r.asDict() for r in out.collect()}
@@ -90,13 +91,59 @@ def test_late_evidence_is_not_used(spark):
 
 def test_backtest_does_not_leak(spark):
     rows = [opening(i, 1, f"{2014 + i}-09-{10 + i}") for i in range(7)]
-    run = lambda r: {x["target_id"]: x.asDict() for x in (lambda c: B.cases(B.targets(C.collapse(c), 2019, 2019), B.evidence(B.targets(C.collapse(c), 2019, 2019), c)))(C.assign(spark.createDataFrame(r, OPENING))).collect()}
+    roles = spark.createDataFrame([(1, 1, "software", "internship", "summer"), (2, 1, "design", "internship", "summer"), (3, 2, "software", "internship", "summer")], "role_id bigint, company_id bigint, family string, level string, season string")
+    signals = spark.createDataFrame([(1, dt.date(2019, 6, 1), "post", "support", 0.9, 0.9), (1, dt.date(2019, 8, 1), "post", "support", 0.9, 0.9)], "role_id bigint, observed_on date, kind string, direction string, strength double, reliability double")
+    scale = spark.createDataFrame([(1, 0.5), (2, 0.9)], "company_id bigint, scale double")
+
+    def run(r):
+        c = C.assign(spark.createDataFrame(r, OPENING))
+        t = B.targets(C.collapse(c), 2019, 2019)
+        return {x["target_id"]: x.asDict() for x in B.cases(t, B.evidence(t, c), roles, c, signals, scale).collect()}
+
     base = run(rows)
     assert base[5]["skipped"] is None and base[5]["history"] == 5 and base[5]["cutoff"] < base[5]["target_on"]
     future = [*rows, opening(50, 1, "2021-02-01"), opening(51, 1, "2018-12-01", available="2020-01-01")]
     assert run(future)[5] == base[5]
     observed = [*rows[:5], opening(5, 1, "2019-09-15", "observed_by"), *rows[6:]]
-    assert run(observed)[5]["skipped"] == "held-out opening is observed-by only" and run(observed)[5]["error_days"] is None
+    assert run(observed)[5]["skipped"] == B.OBSERVED_ONLY and run(observed)[5]["error_days"] is None
+    # A role with one cycle is left out alone, and forecast from its company's or family's season as known by the cutoff.
+    alone = [opening(60, 1, "2018-09-12"), opening(61, 1, "2019-09-14")]
+    assert run(alone)[61]["skipped"] == B.SPARSE and run(alone[1:])[61]["skipped"] == B.NO_EVIDENCE
+    for other in (2, 3):
+        lent = [*alone, opening(70, other, "2017-09-20"), opening(71, other, "2018-09-25")]
+        assert run(lent)[61]["skipped"] is None and run(lent[1:])[61]["history"] == 0 and run(lent[1:])[61]["skipped"] is None
+        assert run([*alone, opening(70, other, "2017-09-20", available="2019-08-01")])[61]["skipped"] == B.SPARSE
+
+
+def test_forecast_factors_are_worked_out_by_hand(spark):
+    """Two exact openings of full quality on one day of the year, one company season."""
+    import math
+
+    rows = [opening(1, 1, "2022-09-01"), opening(2, 1, "2023-09-01"), opening(3, 2, "2021-09-01", quality=0.6)]
+    f = forecast(spark, rows)
+    q = rows[0][4] * rows[0][6]
+    age = [(dt.date(2024, 6, 1) - dt.date(y, 9, 1)).days / 365.2425 for y in (2022, 2023)]
+    own = sum(0.86**a * q for a in age)
+    assert math.isclose(f[1]["f_history"], round(1 - math.exp(-own / 3), 4)) and math.isclose(f[1]["f_quality"], round(q, 4)) and f[1]["f_precision"] == 1.0
+    assert f[1]["f_consistency"] > 0.998  # only the distance to the centre counts, not the openings' own spread
+    # A role without openings takes quality from its seasons and precision and consistency from the forecast's spread.
+    lone = f[11]
+    assert lone["n"] == 0 and math.isclose(math.log(lone["f_consistency"]) * 24, math.log(lone["f_precision"]) * 30, rel_tol=2e-3) and 0 < lone["f_precision"] < 1
+
+
+def test_signals_count_once(spark):
+    one = [(1, dt.date(2024, 5, 20), "support", 0.9, 0.9)]
+    assert forecast(spark, HISTORY, one * 3) == forecast(spark, HISTORY, one)
+    kinds = "role_id bigint, observed_on date, kind string, direction string, strength double, reliability double, evidence_id string"
+    row = (1, dt.date(2024, 5, 20), "post", "support", 0.9, 0.9)
+    assert M.distinct_signals(spark.createDataFrame([(*row, "a"), (*row, "a"), (*row, "b"), (*row, None), (*row, None)], kinds)).count() == 3
+    with pytest.raises(Exception, match="evidence id differ"):
+        M.distinct_signals(spark.createDataFrame([(*row, "a"), (*row[:4], 0.5, 0.9, "a")], kinds)).collect()
+
+
+def test_scale_is_the_mean_of_size_and_recruiting(spark):
+    df = spark.createDataFrame([(0.35, None), (0.35, 0.75)], "a double, b double")
+    assert [round(r[0], 6) for r in df.select(M.company_scale(F.col("a"), F.col("b"))).collect()] == [0.35, 0.55]
 
 
 def test_circle(spark):
@@ -212,3 +259,15 @@ def test_page_changes_in_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["source"], r["observed_at"].hour, r["kind"], r["previous"]) for r in spark.table("changes").collect())
     assert got == [("a", 1, "baseline", None), ("a", 3, "changed", "x"), ("a", 5, "changed", "y"), ("b", 1, "baseline", None)]
+
+
+def test_seasons_are_whole_words_in_text_order(spark):
+    titles = {"Fallback Systems Winter 2026": "winter-2026", "Spring or Summer Intern 2027": "spring-2027", "Autumn 2025 Analyst": "fall-2025", "Winterthur Office 2026": "unspecified-2026", "Summer Intern": None}
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert {r["t"]: r["k"] for r in df.select("t", T.cycle_key(F.col("t"), F.lit("unknown")).alias("k")).collect()} == titles
+
+
+def test_epochs_of_any_length(spark):
+    df = spark.createDataFrame([("999999999",), ("1700000000",), ("170000000000",), ("1700000000000",), ("soon",), (None,)], "v string")
+    got = [r[0] and r[0].timestamp() for r in df.select(D.parse_timestamp(F.col("v"))).collect()]
+    assert got == [999999999.0, 1700000000.0, 170000000.0, 1700000000.0, None, None]

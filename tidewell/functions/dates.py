@@ -68,8 +68,9 @@ def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def parse_timestamp(v: Column) -> Column:
     """Epoch seconds or milliseconds, ISO-8601, or RFC-2822; without a zone it is UTC; else null."""
-    number = F.try_to_number(v, F.lit("9999999999999")).cast("bigint")
-    epoch = F.when(v.rlike(r"^\d{10}$"), F.timestamp_seconds(number)).when(v.rlike(r"^\d{13}$"), F.timestamp_millis(number))
+    # Fixed value: numbers above ten thousand million are milliseconds.
+    number = F.when(v.rlike(r"^\d{1,15}$"), v.try_cast("bigint"))
+    epoch = F.when(number > 10_000_000_000, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number))
     iso = F.regexp_replace(v, r"Z$", "+00:00")
     mail = F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC)$", "+0000")
     tries = [epoch]

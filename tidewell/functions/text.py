@@ -57,8 +57,9 @@ def family(c: Column) -> Column:
 
 
 def season(c: Column) -> Column:
-    t = F.lower(c)
-    return F.when(t.contains("summer"), "summer").when(t.rlike("fall|autumn"), "fall").when(t.contains("spring"), "spring").when(t.contains("winter"), "winter").otherwise("unknown")
+    """The first season that a text names as a whole word."""
+    word = F.regexp_extract(F.lower(c), r"\b(spring|summer|fall|autumn|winter)\b", 1)
+    return F.when(word == "", "unknown").when(word == "autumn", "fall").otherwise(word)
 
 
 def cycle_key(title: Column, role_season: Column) -> Column:

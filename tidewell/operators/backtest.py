@@ -1,9 +1,9 @@
 """Rolling-origin evaluation: forecast each past cycle from what was known before it.
 
-A target is a collapsed cycle; its evidence is what had happened and was available
-by its cutoff, from cycles other than itself. Targets meet their own role's events
-by role, and the company's season by (company, level, season): equal keys first,
-dates as the rest of the condition, never targets against all events."""
+A target is a collapsed cycle; it is forecast by the very model of ``forecast``, from
+its role's other cycles, the company's and the family's season and the role's
+signals, each as known by its cutoff. Targets meet their own role's events by role;
+the seasons are running sums, so targets never meet all events."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates as D
 from tidewell.operators import cycles as C
-from tidewell.operators.forecast import DECAY, FLOOR_DAYS, UNCERTAIN_SCALE, _steps, effective_uncertainty
+from tidewell.operators import forecast as M
+from tidewell.session import materialize
 
 CUTOFF_DAYS = 60
 BUCKETS = ("0", "1", "2", "3", "4+")
@@ -39,32 +40,30 @@ def evidence(target_rows: DataFrame, cycled: DataFrame) -> DataFrame:
     return C.collapse(seen, "target_id")
 
 
-def cases(target_rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Forecast and score of each target from its own evidence, or the reason for leaving it out."""
-    u = effective_uncertainty(F.col("precision"), F.col("uncertainty"))
-    age = F.datediff("cutoff", "opened_on") / F.lit(D.YEAR)
-    w = F.pow(F.lit(DECAY), age) * F.greatest(F.lit(0.01), F.col("quality") * F.col("match")) / (1 + F.pow(u / UNCERTAIN_SCALE, F.lit(2.0)))
-    m = seen.select("target_id", D.cycle_day(F.col("opened_on")).alias("day"), w.alias("w"), F.sqrt(16 + u * u / 12).alias("spread"))
-    centre = m.groupBy("target_id").agg(D.circular_center(F.col("day"), F.col("w")).alias("centre"), F.sum("w").alias("mass"), F.count("*").alias("n"))
-    gap = D.circular_distance(F.col("day"), F.col("centre"))
-    spread = m.join(centre, "target_id").groupBy("target_id", "centre", "mass", "n").agg(F.sum(F.col("w") * (F.col("spread") * F.col("spread") + gap * gap)).alias("v"))
-    sigma = F.sqrt(F.col("v") / F.col("mass") * (1 + 1 / F.greatest(F.lit(1.0), F.col("mass"))))
-    made = spread.withColumn("half_width", F.least(F.lit(90), F.greatest(F.rint(_steps(F.col("n"), FLOOR_DAYS)), F.rint(1.282 * sigma))).cast("int"))
-    t = target_rows.join(made, "target_id", "left")
-    skip = (
-        F.when(F.col("actual_start").isNull(), "held-out opening is observed-by only")
-        .when(F.col("n").isNull(), "no evidence by the cutoff")
-        .when(F.col("n") < 3, "sparse history without a prior")
-    )
-    t = t.withColumns({"skipped": skip, "expected_on": D.next_occurrence(F.date_add("cutoff", 1), F.col("centre"), F.col("half_width"))})
-    start, end = F.date_sub("expected_on", F.col("half_width")), F.date_add("expected_on", F.col("half_width"))
+#: Why a target is left out.
+OBSERVED_ONLY = "held-out opening is observed-by only and has no scoreable actual interval"
+NO_EVIDENCE = "no temporal evidence was available by the forecast cutoff"
+SPARSE = "sparse role history had no sourced company or role-family prior"
+
+
+def cases(target_rows: DataFrame, seen: DataFrame, roles: DataFrame, cycled: DataFrame, signals: DataFrame, scale: DataFrame) -> DataFrame:
+    """Forecast and score of each target, or the reason for leaving it out.
+
+    ``seen`` is what ``evidence`` gives; ``cycled`` all events with their cycles; ``scale`` (company_id, scale)."""
+    placed = target_rows.join(roles.select("role_id", "company_id"), "role_id", "left").join(scale, "company_id", "left")
+    asked = placed.where("actual_start is not null").select(F.col("target_id").alias("ask_id"), "role_id", F.col("cutoff").alias("as_of"), "scale")
+    lent = materialize(M.priors(asked, roles, M.spans(cycled)), "lent")
+    made = M.evaluate(asked, M.parts(asked, seen.withColumnRenamed("target_id", "ask_id"), lent), M.signal_factors(signals, asked))
+    t = target_rows.join(made.withColumnRenamed("ask_id", "target_id"), "target_id", "left")
+    skip = F.when(F.col("actual_start").isNull(), OBSERVED_ONLY).when(F.col("refusal") == "no_evidence", NO_EVIDENCE).when(F.col("refusal").isNotNull(), SPARSE)
+    t = t.withColumn("skipped", skip)
     scored = lambda c: F.when(F.col("skipped").isNull(), c)
     return t.select(
         "target_id", "role_id", "target_on", "cutoff", "skipped", F.coalesce("n", F.lit(0)).cast("int").alias("history"), "target_quality",
         scored(F.col("expected_on")).alias("expected_on"), scored(F.col("half_width")).alias("half_width"),
         scored(D.distance_to_interval(F.col("expected_on"), F.col("actual_start"), F.col("actual_end"))).alias("error_days"),
-        scored(D.overlaps(start, end, F.col("actual_start"), F.col("actual_end"))).alias("covered"),
-        scored(F.round(100 * F.least(F.lit(0.92), 1 - F.exp(-F.col("mass") / 3)), 1)).alias("confidence"),
+        scored(D.overlaps(F.col("window_start"), F.col("window_end"), F.col("actual_start"), F.col("actual_end"))).alias("covered"),
+        scored(F.col("confidence")).alias("confidence"),
     )
 
 
@@ -98,39 +97,28 @@ def calibration(case_rows: DataFrame) -> DataFrame:
     return g.select("band", "cases", F.round("_c", 2).alias("mean_confidence"), F.round("_v", 4).alias("coverage"), F.round(F.col("_c") / 100 - F.col("_v"), 4).alias("gap"))
 
 
-#: DuckDB: targets, evidence and cases over ``cycled`` and ``collapsed``.
-SQL = """
+#: DuckDB: targets and cases over ``roles``, ``companies``, ``signals``, ``cycled`` and ``collapsed``; every target meets every event it may know.
+SQL = f"""
 targets as (select event_id as target_id, role_id, opened_on as target_on, cycle_key as target_key, quality as target_quality,
     case precision when 'exact' then opened_on when 'bounded' then opened_on - ceil(coalesce(uncertainty, 0) / 2)::int end as actual_start,
     case precision when 'exact' then opened_on when 'bounded' then opened_on + ceil(coalesce(uncertainty, 0) / 2)::int end as actual_end
     from collapsed where year(opened_on) between 1998 and 2000),
 cut as (select *, coalesce(actual_start, target_on) - 60 as cutoff from targets),
-seen as (select * from (select t.*, e.opened_on, e.precision, e.quality, e.match, e.uncertainty, row_number() over (partition by t.target_id, e.cycle order by e.opened_on,
+asks as (select target_id as ask_id, role_id, cutoff as as_of, target_id, target_key, target_on from cut where actual_start is not null),
+lenders as (
+    select a.ask_id, a.as_of, 'own' as kind, a.role_id as lender, target_id, target_key, target_on from asks a
+    union all select a.ask_id, a.as_of, 'company', e.role_id, null, null, null from asks a join roles r using (role_id) join roles e on {M.LENDS} e.company_id = r.company_id and e.role_id <> r.role_id
+    union all select a.ask_id, a.as_of, 'family', e.role_id, null, null, null from asks a join roles r using (role_id) join roles e on {M.LENDS} e.family = r.family and e.company_id <> r.company_id),
+told_events as (select * from (select l.ask_id, l.kind, e.opened_on, e.precision, e.quality, e.match, e.uncertainty, row_number() over (partition by l.ask_id, l.kind, e.role_id, e.cycle order by e.opened_on,
         case e.precision when 'exact' then 2 when 'bounded' then 1 else 0 end desc, e.match desc, e.quality desc, e.uncertainty asc nulls last, e.available_on, e.event_id) as rn
-    from cut t join cycled e on e.role_id = t.role_id and e.event_id <> t.target_id and e.opened_on <= t.cutoff and e.available_on <= t.cutoff
-        and not (case when e.cycle_key is not null and t.target_key is not null then e.cycle_key = t.target_key else abs(e.opened_on - t.target_on) < 300 end)) where rn = 1),
-seen_u as (select *, case when precision = 'observed_by' then greatest(90.0::double, coalesce(uncertainty, 0)) else coalesce(uncertainty, 0) end as u,
-    (dayofyear(opened_on) - 1) / dayofyear(make_date(year(opened_on), 12, 31))::double * 365.2425::double as day from seen),
-seen_w as (select *, pow(0.86, (cutoff - opened_on) / 365.2425::double) * greatest(0.01, quality * match) / (1 + pow(u / 21.0, 2)) as w, sqrt(16 + u * u / 12) as spread from seen_u),
-mid as (select target_id, atan2(sum(w * sin(day * 2 * pi() / 365.2425)), sum(w * cos(day * 2 * pi() / 365.2425))) / (2 * pi()) as turn, sum(w) as mass, count(*) as n from seen_w group by 1),
-made as (select target_id, centre, mass, n, sum(w * (spread * spread + pow(least(abs(day - centre) % 365.2425, 365.2425 - abs(day - centre) % 365.2425), 2))) as v
-    from seen_w join (select target_id, (turn - floor(turn)) * 365.2425::double as centre, mass, n from mid) m using (target_id) group by 1, 2, 3, 4),
-wide_cases as (select t.*, m.centre, m.mass, m.n, least(90, greatest([42, 32, 22, 12, 7][least(n, 4)::int + 1], round_even(1.282 * sqrt(v / mass * (1 + 1 / greatest(1.0, mass))), 0)))::int as half_width,
-    case when actual_start is null then 'held-out opening is observed-by only' when n is null then 'no evidence by the cutoff' when n < 3 then 'sparse history without a prior' end as skipped,
-    t.cutoff + 1 as as_of from cut t left join made m using (target_id)),
-occurring as (select *, {this} as this, {following} as following, {preceding} as preceding from wide_cases),
-placed_cases as (select *, case when as_of - (case when this >= as_of then preceding else this end) <= half_width then (case when this >= as_of then preceding else this end)
-    when this >= as_of then this else following end as expected from occurring),
-cases as (select target_id, role_id, target_on, cutoff, skipped, coalesce(n, 0)::int as history, target_quality,
-    case when skipped is null then expected end as expected_on, case when skipped is null then half_width end as half_width,
+    from lenders l join cycled e on e.role_id = l.lender and e.opened_on <= l.as_of and e.available_on <= l.as_of
+        and (l.kind <> 'own' or (e.event_id <> l.target_id and not (case when e.cycle_key is not null and l.target_key is not null then e.cycle_key = l.target_key else abs(e.opened_on - l.target_on) < 300 end)))) where rn = 1),
+own as (select ask_id, opened_on, quality, match, precision, uncertainty from told_events where kind = 'own'),
+lent as (select ask_id, kind, opened_on, quality, match, precision, uncertainty from told_events where kind <> 'own'),
+{M.SQL.strip()},
+judged as (select t.*, a.n, a.expected_on as expected, a.half_width, a.confidence,
+    case when actual_start is null then '{OBSERVED_ONLY}' when refusal = 'no_evidence' then '{NO_EVIDENCE}' when refusal is not null then '{SPARSE}' end as skipped from cut t left join answers a on a.ask_id = t.target_id),
+cases as (select target_id, role_id, target_on, cutoff, skipped, coalesce(n, 0)::int as history, target_quality, expected as expected_on, half_width,
     case when skipped is null then greatest(0, actual_start - expected, expected - actual_end) end as error_days,
     case when skipped is null then greatest(expected - half_width, actual_start) <= least(expected + half_width, actual_end) end as covered,
-    case when skipped is null then round(100 * least(0.92, 1 - exp(-mass / 3)), 1) end as confidence from placed_cases)"""
-
-
-def _on_cycle(year: str) -> str:
-    days = f"dayofyear(make_date({year}, 12, 31))"
-    return f"make_date({year}, 1, 1) + (round_even(centre / 365.2425 * {days}, 0)::int % {days}::int)::int"
-
-
-SQL = SQL.format(this=_on_cycle("year(as_of)"), following=_on_cycle("year(as_of) + 1"), preceding=_on_cycle("year(as_of) - 1"))
+    confidence from judged)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Days from a cycle's first opening within which unkeyed ones join it; precision ranks.
@@ -34,12 +34,17 @@ def assign(events: DataFrame, *keys: str) -> DataFrame:
     return joined.withColumn("cycle", F.when(F.col("cycle_key").isNotNull(), F.concat(F.lit("key:"), "cycle_key")).otherwise(F.concat(F.lit("from:"), own.cast("string")))).drop("anchors")
 
 
+def preference(within: WindowSpec) -> WindowSpec:
+    """The order in which events stand for their cycle."""
+    return within.orderBy(
+        F.col("opened_on"), precision_rank(F.col("precision")).desc(), F.col("match").desc(), F.col("quality").desc(), F.col("uncertainty").asc_nulls_last(), F.col("available_on"), F.col("event_id")
+    )
+
+
 def collapse(events: DataFrame, *keys: str) -> DataFrame:
     """One row for each cycle: its earliest opening, the best evidence among equals."""
     keys = keys or ("role_id",)
-    order = Window.partitionBy(*keys, "cycle").orderBy(
-        F.col("opened_on"), precision_rank(F.col("precision")).desc(), F.col("match").desc(), F.col("quality").desc(), F.col("uncertainty").asc_nulls_last(), F.col("available_on"), F.col("event_id")
-    )
+    order = preference(Window.partitionBy(*keys, "cycle"))
     return events.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 

@@ -88,10 +88,10 @@ def facet_options(spark, d):
     return X.options(facts(spark, d))
 
 
-@query("history_depth", S.with_sql(_BASE, f", {FACTS_SQL} select case when forecastable then least(history_count, 10) end as depth, count(*) as roles from facts group by 1"))
+@query("history_depth", S.with_sql(_BASE, f", {FACTS_SQL} select case when forecastable then least(history_count, 3) end as depth, count(*) as roles from facts group by 1"))
 def history_depth(spark, d):
     f = facts(spark, d)
-    return f.groupBy(F.when(F.col("forecastable"), F.least("history_count", F.lit(10))).alias("depth")).agg(F.count("*").alias("roles"))
+    return f.groupBy(F.when(F.col("forecastable"), F.least("history_count", F.lit(3))).alias("depth")).agg(F.count("*").alias("roles"))
 
 
 @query("precision_counts", S.with_sql(_BASE, f", {FACTS_SQL} select role_id, exact_count, bounded_count, observed_count from facts"))
@@ -107,11 +107,11 @@ def latest_per_key(spark, d):
 
 _FOLLOWS = """follows as (select c_custkey % 40 as user_id, case c_custkey % 4 when 0 then 'role' when 1 then 'company' when 2 then 'family' else 'track' end as kind,
     case c_custkey % 4 when 0 then (c_custkey * 7 % 150)::varchar when 1 then (c_nationkey)::varchar when 2 then c_mktsegment else ['internship','new_grad','apprenticeship','unknown'][(c_custkey // 4 % 4)::int + 1] end as target
-    from customer where c_custkey < 120)"""
+    from customer)"""
 
 
 def follows(spark, d):
-    c = S.load(spark, d, "customer").where("c_custkey < 120")
+    c = S.load(spark, d, "customer")
     kind = F.pmod("c_custkey", F.lit(4))
     level = F.element_at(F.array(*map(F.lit, ("internship", "new_grad", "apprenticeship", "unknown"))), F.pmod(F.floor(F.col("c_custkey") / 4), F.lit(4)).cast("int") + 1)
     target = F.when(kind == 0, F.pmod(F.col("c_custkey") * 7, F.lit(150)).cast("string")).when(kind == 1, F.col("c_nationkey").cast("string")).when(kind == 2, F.col("c_mktsegment")).otherwise(level)

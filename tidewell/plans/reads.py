@@ -27,7 +27,7 @@ def provenance_star(spark, d):
     return j.select("l_orderkey", "l_linenumber", "c_name", "n_name", "s_name", "p_name", "event_type")
 
 
-_CAPTURES = """captures as (select user_id, ts::date as day, min(case event_type when 'error' then 'unknown' when 'view' then 'absent' when 'click' then 'absent' else 'present' end) as state from events where event_id % 3 = 0 group by 1, 2),
+_CAPTURES = """captures as (select user_id, ts::date as day, min(case event_type when 'error' then 'unknown' when 'view' then 'absent' when 'click' then 'absent' else 'present' end) as state from events group by 1, 2),
     told as (select *, lag(state) over w as prev, lag(day) over w as prev_day, min(case when state = 'absent' then day end) over (partition by user_id order by day rows between 1 following and unbounded following) as closed_on from captures where state <> 'unknown' window w as (partition by user_id order by day)),
     opened as (select *, case when prev = 'absent' then prev_day + 1 end as earliest from told where state = 'present' and (prev is null or prev = 'absent')),
     openings0 as (select user_id, case when day - earliest between 0 and 120 then earliest + ((day - earliest) // 2)::int else day end as opened_on, case when day - earliest between 0 and 120 then 'bounded' else 'observed_by' end as precision,
@@ -35,7 +35,7 @@ _CAPTURES = """captures as (select user_id, ts::date as day, min(case event_type
 
 
 def _captures(spark, d):
-    e = load(spark, d, "events").where("event_id % 3 = 0")
+    e = load(spark, d, "events")
     state = F.when(F.col("event_type") == "error", "unknown").when(F.col("event_type").isin("view", "click"), "absent").otherwise("present")
     return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min(state).alias("state"))
 
@@ -74,7 +74,8 @@ def month_bands(spark, d):
 def interleaved_feed(spark, d):
     o = S.openings(spark, d).join(S.roles(spark, d).select("role_id", "company_id"), "role_id").where("precision = 'exact'").select("event_id", "company_id", "opened_on")
     newest = [F.col("opened_on").desc(), F.col("event_id")]
-    return Q.interleave(o.orderBy(*newest).limit(200), "company_id", newest)
+    last = load(spark, d, "orders").agg(F.to_date(F.max("o_orderdate")).alias("last"))
+    return Q.interleave(o.where(F.col("opened_on") >= F.date_sub(last.scalar(), 45)), "company_id", newest)
 
 
 @query("interleave_check", "select 0::bigint as violations")

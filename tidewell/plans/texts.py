@@ -29,7 +29,7 @@ def _list(values):
 _TITLES = f"""titles as (select p_partkey as posting_id, concat_ws(' - ', {_list(_KINDS)}[(p_partkey % 7)::int + 1], p_name, nullif({_list(_TIMES)}[(p_partkey % 6)::int + 1], '')) as title, p_brand || ' Holdings, Inc.' as company, ['summer','unknown'][(p_partkey % 2)::int + 1] as role_season from part)"""
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '^\s*apply\s+(for|to|now\s+for)\s+', '', 'g'), '\b20[0-9]{2}\b', ' ', 'g'), '\b(cohort|class of|batch)\b', ' ', 'g'),
     '\bswe\b', 'software engineer', 'g'), '\binternships?\b', 'intern', 'g'), '\bnew[-\s]grad(uate)?s?\b', 'new grad', 'g'), '[^a-z0-9+]+', ' ', 'g'))"""
-_SEASON = "case when contains(lower(title), 'summer') then 'summer' when regexp_matches(lower(title), 'fall|autumn') then 'fall' when contains(lower(title), 'spring') then 'spring' when contains(lower(title), 'winter') then 'winter' else 'unknown' end"
+_SEASON = "case regexp_extract(lower(title), '\\b(spring|summer|fall|autumn|winter)\\b', 1) when '' then 'unknown' when 'autumn' then 'fall' else regexp_extract(lower(title), '\\b(spring|summer|fall|autumn|winter)\\b', 1) end"
 
 
 @query("title_normalize", f"with {_TITLES} select posting_id, {_NORM} as title from titles")
@@ -151,18 +151,21 @@ def parsed_dates(spark, d):
         F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.concat(F.date_format(t, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
         .when(k == 3, F.unix_timestamp(t).cast("string")).otherwise(F.concat(F.unix_timestamp(t).cast("string"), F.lit("000")))
     )
-    return o.select("o_orderkey", D.parse_timestamp(F.when(F.length(spelled).isin(9, 12), F.date_format(t, "yyyy-MM-dd")).otherwise(spelled)).alias("parsed"))
+    return o.select("o_orderkey", D.parse_timestamp(spelled).alias("parsed"))
 
 
-@query("cosine_topk", """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 10)
+@query("cosine_topk", """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0)
     select query_id, vec_id, r::int as rank from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_cosine_similarity(q::double[], embedding::double[]), 9) desc, vec_id) as r from q, embeddings where vec_id <> query_id) where r <= 5""")
 def cosine_topk(spark, d):
-    """Ten stated queries against all rows: the queries are one broadcast row, every row is scored where it lies."""
+    """Every row whose id is divisible by 50 against all rows, in blocks of at most about 200 queries:
+    a block is one row, and every row is scored where it lies."""
     e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
     e = e.withColumn("u", norm("v"))
-    block = e.where("vec_id < 10").agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("u").alias("n"))).alias("block"))
-    scored = e.join(F.broadcast(block)).select("vec_id", "v", "u", F.explode("block").alias("b")).where("vec_id <> b.query_id")
+    asked = e.where("vec_id % 50 = 0")
+    n_blocks = asked.count() // 200 + 1
+    blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("k")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("u").alias("n"))).alias("block"))
+    scored = e.join(blocks.select("block")).select("vec_id", "v", "u", F.explode("block").alias("b")).where("vec_id <> b.query_id")
     dot = F.aggregate(F.zip_with("v", "b.q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     s = scored.select(F.col("b.query_id").alias("query_id"), "vec_id", F.round(dot / (F.col("u") * F.col("b.n")), 9).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "vec_id")

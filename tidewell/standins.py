@@ -49,6 +49,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("signal_id"), F.col("user_id").alias("role_id"), F.date_sub(F.to_date("ts"), 9510).alias("observed_on"), F.col("event_type").alias("kind"),
         F.when(F.pmod("event_id", F.lit(5)) == 0, "contradict").otherwise("support").alias("direction"),
         ((F.pmod("event_id", F.lit(9)) + 1) / 10.0).alias("strength"), ((F.pmod("event_id", F.lit(4)) + 6) / 10.0).alias("reliability"),
+        F.when(F.pmod("event_id", F.lit(3)) != 0, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("evidence_id"),
     )
 
 
@@ -67,7 +68,8 @@ SQL = {
         case when o_orderkey % 7 = 0 then 'annual-' || year(o_orderdate) end as cycle_key from orders""",
     "signals": """select event_id as signal_id, user_id as role_id, (ts::date - 9510) as observed_on, event_type as kind,
         case when event_id % 5 = 0 then 'contradict' else 'support' end as direction,
-        ((event_id % 9) + 1) / 10.0::double as strength, ((event_id % 4) + 6) / 10.0::double as reliability from events""",
+        ((event_id % 9) + 1) / 10.0::double as strength, ((event_id % 4) + 6) / 10.0::double as reliability,
+        case when event_id % 3 <> 0 then 'e' || event_id::varchar end as evidence_id from events""",
 }
 
 
