@@ -137,6 +137,17 @@ def test_licence_odd_rows(spark, odd_docs, no_docs):
     assert license_scan.scan(no_docs, model).count() == 0
 
 
+def test_wrapped_licences_are_found_once(spark, docs):
+    import textwrap
+
+    grant = license_scan.TEMPLATES["mit"][2] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies."
+    prose = "The river rises in spring and the anglers of the valley go out early.\n"
+    rows = [(1, prose + "\n" + "\n".join(textwrap.wrap(grant, 70)) + "\n\n" + prose), (2, grant), (3, prose * 6), (4, prose + license_scan.TEMPLATES["apache"][0] + "\n" + prose)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), license_scan.fit(docs)).collect()}
+    sure = {k: [(x["family"], x["paragraph"]) for x in v if x["confirmed"]] for k, v in got.items()}
+    assert sure == {1: [("mit", 2)], 2: [("mit", 0)], 3: [], 4: [("apache", 1)]}
+
+
 def coded(texts, dropout, salt=7):
     v = sentencepiece_codec.Vocabulary.read().ready()
     out = []
