@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: Base and least lead days of each action.
 POLICY = (("networking", 63, 28), ("referral", 49, 21), ("portfolio", 35, 14), ("resume", 28, 14), ("high_alert", 7, 3))
 SIZE_SHIFT = {"startup": -7, "small": -3, "medium": 0, "large": 5, "enterprise": 9, "unknown": 0}
-PORTFOLIO_FAMILIES = ("design", "software_engineering", "data_science", "product", "machine_learning", "research")
 
 
 def adjustment(size: Column, scale: Column, competitiveness: Column, width: Column, confidence: Column) -> Column:

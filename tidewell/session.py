@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    A local folder is chosen only when the setting is absent, as in tests."""
+    Without the setting, a local master gets a folder of its own, as in tests; on a cluster
+    that is an error, because executors would each write to their own disks."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -19,6 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-ckpt-"))
     return sc.getCheckpointDir()
 
