@@ -38,6 +38,12 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage now: Spark deletes the shuffle files of finished jobs
+    only when it does, and until then they add to the disk that the next job needs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
