@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, span_hashes, word_spans
 from tidewell.llm.sqlx import id_key, unused
-from tidewell.session import materialize
+from tidewell.session import materialize, release
 
 MIN_WORDS = 1
 MIN_FUZZY = 3
@@ -199,6 +199,7 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     packed = keyed.select("_k", "_t", _packed(F.col("_x")).alias("_z"))
     emitted = packed.join(by_text, ["_k", "_t"]).dropDuplicates(["_k", "_t"]).select("_k", "_t", F.explode(neighbourhood("_z", "lines")).alias("v"))
     variants = materialize(emitted.select("_k", "_t", "v.*").select("v1", "v2", "p", "h1", "h2", _order().alias("ord")), "variants")
+    release(docs.sparkSession)
     same_place = variants.groupBy("v1", "v2", "p").agg(F.min("ord").alias("lead"))
     either = same_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("p") < 0, F.col("lead"))).alias("whole"), F.min(F.when(F.col("p") >= 0, F.col("lead"))).alias("cut"))
     nearest = F.when(F.col("p") < 0, F.col("cut")).otherwise(F.least("lead", "whole"))
