@@ -217,7 +217,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     names = docs.columns
     if counts is not None:
         unused(docs, counts)
-    found = drops(docs, id_col=id_col, text_col=text_col, min_words=min_words, min_fuzzy=min_fuzzy)
+    # Written before the texts are shuffled, so that no shuffle of the search is held meanwhile.
+    found = materialize(drops(docs, id_col=id_col, text_col=text_col, min_words=min_words, min_fuzzy=min_fuzzy), "gone")
+    release(docs.sparkSession)
     # The other columns travel as one struct, so none of their names can clash.
     others = [c for c in names if c != text_col]
     packed = _keyed(docs, id_col, text_col, F.struct(*others).alias("_row"), _packed(F.col(text_col)).alias("_z"))
