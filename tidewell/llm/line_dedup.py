@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, span_hashes, word_spans
 from tidewell.llm.sqlx import id_key, unused
-from tidewell.session import materialize, release
+from tidewell.session import discard, materialize, release
 
 MIN_WORDS = 1
 MIN_FUZZY = 3
@@ -168,19 +168,26 @@ def _order() -> Column:
 
 
 def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """(_k, _t, gone): places of the lines that go, for the texts that lose any."""
+    """(_k, _t, gone): places of the lines that go, for the texts that lose any; a written table."""
     keyed = _keyed(docs, id_col, text_col, F.col(text_col).alias("_x"))
     read = F.arrow_udf(lambda texts: describe(texts, min_words, min_fuzzy), _LINES)
     lines = materialize(keyed.select("_k", "_t", F.explode(read(F.coalesce(F.col("_x"), F.lit("")))).alias("l")).select("_k", "_t", "l.*"), "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"))
-    # The filter: keys that two different lines share.
-    keys = lines.select("h1", "h2", F.posexplode("keys").alias("stretch", "key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    # One row a distinct line, written, so that a very common line is one row in all that follows.
+    equal = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    firsts = materialize(equal, "firsts")
+    # The filter: keys that two different lines share. Every table is written before the next one is
+    # shuffled: one shuffle's files at a time, and joins of plain tables, whose hot keys Spark can split.
+    release(docs.sparkSession)
+    keys = firsts.select("h1", "h2", F.posexplode("keys").alias("stretch", "key"))
+    shared = materialize(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key"), "shared")
+    release(docs.sparkSession)
     each = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("stretch")
-    short = lines.where(F.col("n").between(min_fuzzy, SHORT)).select("h1", "h2").distinct().select("h1", "h2", each)
+    short = firsts.where(F.col("n").between(min_fuzzy, SHORT)).select("h1", "h2", each)
     live = keys.join(shared, "key").select("h1", "h2", "stretch").union(short).groupBy("h1", "h2").agg(F.collect_set("stretch").alias("stretches"))
     chosen = live.join(firsts, ["h1", "h2"]).select(F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "stretches").alias("l"))
-    by_text = chosen.groupBy("_k", "_t").agg(F.collect_list("l").alias("lines"))
+    by_text = materialize(chosen.groupBy("_k", "_t").agg(F.collect_list("l").alias("lines")), "chosen")
+    discard(shared)
+    release(docs.sparkSession)
 
     @F.arrow_udf("array<struct<v1:bigint,v2:bigint,p:int,pos:int,h1:bigint,h2:bigint>>")
     def neighbourhood(packed: pa.Array, wanted: pa.Array) -> pa.Array:
@@ -199,15 +206,20 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     packed = keyed.select("_k", "_t", _packed(F.col("_x")).alias("_z"))
     emitted = packed.join(by_text, ["_k", "_t"]).dropDuplicates(["_k", "_t"]).select("_k", "_t", F.explode(neighbourhood("_z", "lines")).alias("v"))
     variants = materialize(emitted.select("_k", "_t", "v.*").select("v1", "v2", "p", "h1", "h2", _order().alias("ord")), "variants")
+    discard(by_text)
     release(docs.sparkSession)
     same_place = variants.groupBy("v1", "v2", "p").agg(F.min("ord").alias("lead"))
     either = same_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("p") < 0, F.col("lead"))).alias("whole"), F.min(F.when(F.col("p") >= 0, F.col("lead"))).alias("cut"))
     nearest = F.when(F.col("p") < 0, F.col("cut")).otherwise(F.least("lead", "whole"))
     near = variants.join(same_place, ["v1", "v2", "p"]).join(either, ["v1", "v2"]).where(nearest < F.col("ord")).select("h1", "h2").distinct().withColumn("near", F.lit(True))
-    acted = firsts.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near")
+    acted = materialize(firsts.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near"), "acted")
+    discard(variants, firsts)
+    release(docs.sparkSession)
     # One row a line on the right, so a line with very many occurrences can be split.
-    gone = lines.select("_k", "_t", "pos", "h1", "h2").join(acted, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_order() != F.col("first")))
-    return gone.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).cast("int").alias("n_near"))
+    places = lines.select("_k", "_t", "pos", "h1", "h2").join(acted, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_order() != F.col("first")))
+    gone = materialize(places.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).cast("int").alias("n_near")), "gone")
+    discard(lines, acted)
+    return gone
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: str | None = None, min_words: int = MIN_WORDS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
@@ -218,7 +230,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     if counts is not None:
         unused(docs, counts)
     # Written before the texts are shuffled, so that no shuffle of the search is held meanwhile.
-    found = materialize(drops(docs, id_col=id_col, text_col=text_col, min_words=min_words, min_fuzzy=min_fuzzy), "gone")
+    found = drops(docs, id_col=id_col, text_col=text_col, min_words=min_words, min_fuzzy=min_fuzzy)
     release(docs.sparkSession)
     # The other columns travel as one struct, so none of their names can clash.
     others = [c for c in names if c != text_col]
