@@ -1,6 +1,7 @@
 """Rules of the operators on small tables: folds, leakage, refusal, upserts, sources, streams."""
 
 import datetime as dt
+import difflib
 import random
 
 import pytest
@@ -185,6 +186,56 @@ def test_resolution_is_order_stable_and_separates_levels(spark):
     assert {r["posting_id"]: r["role_key"] for r in E.resolve(E.features(df.orderBy(F.desc("posting_id")))).collect()} == got
 
 
+def test_resolution_scores_every_posting(spark):
+    rnd = random.Random(3)
+    titles = ["Software Engineer Intern", "Software Engineer Internship Summer", "Platform Software Intern", "Data Science Intern Fall", "Research Intern", "Quant Trading New Grad", "Technology Analyst", None]
+    rows = [(i, rnd.choice(["Acme", "Bolt", None]), rnd.choice(titles), " ".join(rnd.sample("python go rust design chips risk cloud".split(), rnd.randrange(4))), rnd.choice(["Paris", "Oslo", "Remote", "United States", "Various", "", None]), f"2024-01-{i % 20 + 1:02d}") for i in range(150)]
+    df = E.features(spark.createDataFrame(rows, "posting_id int, company string, title string, description string, location string, first_seen string"))
+    got = {r.posting_id: (r.role_key, r.score, r.created) for r in E.resolve(df).collect()}
+    assert len(got) == len(rows)
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+
+    def place(a, b):
+        if a == b:
+            return 1.0
+        if a in ("unspecified", "multi_location") or b in ("unspecified", "multi_location"):
+            return 0.75
+        return 0.45 if {a, b} == {"remote", "united_states"} else ratio(a, b) / 2
+
+    roles, known, want = [], {}, {}
+    for p in sorted(df.collect(), key=lambda r: (r.first_seen, r.posting_id)):
+        shape = tuple(p[k] for k in E.KEYS)
+        if shape in known:
+            want[p.posting_id] = known[shape]
+            continue
+        scores = []
+        for n, r in enumerate(roles):
+            q = r["lead"]
+            wild = (("level", "unknown", p.level, q.level), ("family", "other", p.family, q.family), ("season", "unknown", p.season, r["season"]))
+            near = place(p.location, q.location)
+            broad = {p.location, q.location} & set(E.BROAD)
+            if (p.company, p.stated) != (q.company, q.stated) or any(a != b and w not in (a, b) for _, w, a, b in wild) or (near < 0.5 and not broad):
+                continue
+            x, y = set(p.about.split()), set(q.about.split())
+            about = len(x & y) / len(x | y) if x and y else 0.5
+            scores.append((0.3 * max(ratio(p.title, t) for t in r["titles"]) + 0.25 * about + 0.15 * near + 0.2 + 0.1 * (p.title in r["titles"]), n))
+        scores.sort(key=lambda s: (-s[0], s[1]))
+        best = scores[0][0] if scores else 0.0
+        if scores and best >= 0.72 and (len(scores) == 1 or best - scores[1][0] >= 0.06):
+            r = roles[scores[0][1]]
+            r["titles"].add(p.title)
+            r["season"] = p.season if r["season"] == "unknown" else r["season"]
+        else:
+            r = {"lead": p, "titles": {p.title}, "season": p.season}
+            roles.append(r)
+        known[shape] = want[p.posting_id] = (id(r), round(best, 6), r["lead"] is p)
+    assert len({v[0] for v in got.values()}) == len(roles) > 20
+    assert {i: v[1:] for i, v in want.items()}.keys() == got.keys()
+    for i, (role, score, created) in want.items():
+        assert abs(got[i][1] - score) < 2e-6 and got[i][2] == created
+    assert len({(want[i][0], got[i][0]) for i in got}) == len(roles)
+
+
 def test_sources(spark):
     one = lambda body: spark.createDataFrame([("s", body)], "source string, body string")
     lever = U.lever(one('[{"id":"a","text":"Intern","hostedUrl":"https://x/1","createdAt":1700000000000,"categories":{"location":"Oslo","team":"Core","department":"Eng"}},{"id":"b"}]')).collect()

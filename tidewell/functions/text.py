@@ -48,6 +48,13 @@ def level(c: Column) -> Column:
     )
 
 
+def stated_types(c: Column) -> Column:
+    """The early-career types that a title states, sorted."""
+    t = F.lower(c)
+    rules = (("apprenticeship", r"\bapprentice(ship)?s?\b"), ("internship", r"\b(intern|interns|internship|internships|co-?op)\b"), ("new_grad", r"\b(new[-\s]grad(uate)?|university grad(uate)?|early career)\b"))
+    return F.filter(F.array(*[F.when(t.rlike(rx), name) for name, rx in rules]), lambda x: x.isNotNull())
+
+
 def family(c: Column) -> Column:
     t = F.lower(c)
     return (
