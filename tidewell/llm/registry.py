@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, html_extract, language_id, license_scan, line_dedup, mixing, order_minhash, quality_classifier, quality_rules, sentencepiece_codec
+from tidewell.llm import fingerprints, html_extract, language_id, lexical_search, license_scan, line_dedup, mixing, oracles, order_minhash, quality_classifier, quality_rules, sentencepiece_codec, vector_codes
 from tidewell.llm.sqlx import small_batches
 from tidewell.session import load, materialize
 
@@ -77,11 +77,24 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_links")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vector_codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = materialize(lexical_search.item_terms(load(spark, sf_dir, "benchmark")), "items")
+    index = materialize(lexical_search.postings(load(spark, sf_dir, "documents"), terms=asked), "postings")
+    return lexical_search.search(index, asked).select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: small_batches(f) for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_license_scans, op5_sentencepiece, op6_mixing, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction, op10_order_minhash,
+        op11_vector_codes, op12_lexical_search,
     )} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    own = {"op11_vector_codes": oracles.vector_codes(), "op12_lexical_search": oracles.LEXICAL_SEARCH}
+    return own if corpus_pipeline.ORACLE_SQL is None else own | {"pipeline": corpus_pipeline.ORACLE_SQL}
