@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, html_extract, language_id, lexical_search, license_scan, line_dedup, mixing, oracles, order_minhash, quality_classifier, quality_rules, sentencepiece_codec, vector_codes
+from tidewell.llm import fingerprints, html_extract, language_id, lexical_search, license_scan, line_dedup, mixing, oracles, order_minhash, packing, quality_classifier, quality_rules, sentencepiece_codec, vector_codes
 from tidewell.llm.sqlx import small_batches
 from tidewell.session import load, materialize
 
@@ -88,10 +88,15 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, asked).select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = materialize(packing.pieces(load(spark, sf_dir, "documents")), "pieces")
+    return packing.pack(cut_up).select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: small_batches(f) for f in (
         op1_line_dedup, op2_quality_rules, op3_language_id, op4_license_scans, op5_sentencepiece, op6_mixing, op7_document_fingerprints, op8_quality_classifier, op9_html_extraction, op10_order_minhash,
-        op11_vector_codes, op12_lexical_search,
+        op11_vector_codes, op12_lexical_search, op13_packing,
     )} | {"pipeline": corpus_pipeline.run}
 
 
