@@ -42,20 +42,24 @@ TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 SATURATION, LENGTH_SHARE = 12, 25
 
 
-@F.arrow_udf("array<struct<term: string, tf: bigint>>")
-def counted(texts: pa.Array) -> pa.Array:
-    """Terms of each text with their counts; ``EVERY`` counts all of them. Only ASCII letters are lower-cased."""
-    offsets, terms, counts = [0], [], []
-    for text in texts.cast(pa.large_string()).cast(pa.large_binary()):
-        found = Counter(TERM.findall(text.as_py().lower())) if text.is_valid else {}
-        if found:
-            terms += found.keys()
-            counts += found.values()
-            terms.append(EVERY.encode())
-            counts.append(sum(found.values()))
-        offsets.append(len(terms))
-    rows = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+def counted(text: Column) -> Column:
+    """Terms of a text with their counts; ``EVERY``, the last, counts all of them. Only ASCII letters are lower-cased."""
+
+    @F.arrow_udf("array<struct<term: string, tf: bigint>>")
+    def count(texts: pa.Array) -> pa.Array:
+        offsets, terms, counts = [0], [], []
+        for one in texts.cast(pa.large_string()).cast(pa.large_binary()):
+            found = Counter(TERM.findall(one.as_py().lower())) if one.is_valid else {}
+            if found:
+                terms += found.keys()
+                counts += found.values()
+                terms.append(EVERY.encode())
+                counts.append(sum(found.values()))
+            offsets.append(len(terms))
+        rows = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return count(text)
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
