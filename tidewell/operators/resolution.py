@@ -1,4 +1,4 @@
-"""Resolving postings into recurring roles, and deciding whether a role is in scope."""
+"""Resolving postings into recurring roles."""
 
 from __future__ import annotations
 
@@ -123,40 +123,3 @@ def resolve(described: DataFrame) -> DataFrame:
     schema = ", ".join(f"{k} string" for k in keys) + ", role_key string, score double, created boolean"
     resolved = flat.groupBy("company", "stated").applyInPandas(run, schema)
     return described.join(resolved, keys).select("posting_id", "company", "role_key", "score", "created")
-
-
-#: Rule tables of the scope decision.
-_NAVIGATION = r"^\s*(home|about|careers|jobs|apply|apply now|learn more|search|sign in|view all)\s*$"
-_CONTRACT = r"\b(contract|contractor|freelance|temporary)\b"
-_SENIOR = r"\b(senior|staff|principal|director|head of|vp)\b"
-_DISCIPLINES = (
-    ("software", r"\b(software|developer|swe|backend|frontend|full.?stack)\b"), ("machine_learning", r"\b(machine learning|deep learning|ml)\b"), ("data", r"\b(data (scientist|science|engineer|analyst)|analytics)\b"),
-    ("hardware", r"\b(hardware|firmware|asic|fpga)\b"), ("quant", r"\b(quant|trading)\b"), ("design", r"\b(designer?|ux|ui)\b"), ("product", r"\bproduct manage(r|ment)\b"),
-)
-_FUNCTION = r"\b(marketing|sales|legal|recruit(er|ing)|accounting|finance|hr|human resources)\b"
-
-
-def title_scope(title: Column) -> Column:
-    """struct<status, reason, discipline, type> of one title, by the first rule that applies."""
-    t = F.lower(title)
-    kind = T.level(title)
-    strong = F.filter(F.array(*[F.when(t.rlike(rx), name) for name, rx in _DISCIPLINES]), lambda x: x.isNotNull())
-    early = kind.isin("internship", "new_grad", "apprenticeship")
-    say = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"))
-    decided = (
-        F.when(t.rlike(_NAVIGATION), say("out_of_scope", "navigation")).when(t.rlike(_CONTRACT), say("out_of_scope", "contract"))
-        .when(~early & t.rlike(_SENIOR), say("out_of_scope", "senior")).when(~early, say("out_of_scope", "not_early_career")).when(t.rlike(_SENIOR), say("ambiguous", "seniority_conflict"))
-        .when(t.rlike(_FUNCTION) & (F.size(strong) == 0), say("out_of_scope", "function")).when(F.size(strong) == 0, say("ambiguous", "discipline_unknown")).otherwise(say("in_scope", "listed"))
-    )
-    in_scope = decided["status"] == "in_scope"
-    return F.struct(decided["status"].alias("status"), decided["reason"].alias("reason"), F.when(in_scope, F.get(strong, F.lit(0))).alias("discipline"), F.when(in_scope, kind).alias("type"))
-
-
-def role_scope(titles: DataFrame, role: str, order: list[str]) -> DataFrame:
-    """One decision a role: all out of scope gives the first title's reason, equal outcomes give that
-    outcome, anything else is an alias conflict."""
-    o = titles.withColumn("s", title_scope(F.col("title")))
-    g = o.groupBy(role).agg(F.min_by("s", F.struct(*order)).alias("first"), F.count_distinct(F.struct("s.status", "s.discipline", "s.type")).alias("n"), F.bool_and(F.col("s.status") == "out_of_scope").alias("out"))
-    same = F.col("out") | (F.col("n") == 1)
-    pick = lambda c, other: F.when(same, F.col(f"first.{c}")).otherwise(other).alias(c)
-    return g.select(role, pick("status", F.lit("ambiguous")), pick("reason", F.lit("alias_conflict")), pick("discipline", F.lit(None).cast("string")), pick("type", F.lit(None).cast("string")))

@@ -1,11 +1,11 @@
-"""Sources, role resolution and scope on documents made from the supplied tables."""
+"""Sources and role resolution on documents made from the supplied tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidewell.operators import resolution as E
-from tidewell.plans.texts import _TITLES, titles
+from tidewell.plans.texts import titles
 from tidewell.registry import query
 from tidewell.session import load
 from tidewell.sources import structured as U
@@ -50,18 +50,6 @@ def page_routes(spark, d):
     return U.page_postings(p).select("page_id", "route").distinct()
 
 
-@query("role_scope", f"""with {_TITLES}, s as (select posting_id // 3 as role_id, posting_id, lower(title) as t from titles), k as (select *, case when regexp_matches(t, '\\b(intern|interns|internship|internships|co-?op)\\b') then 'internship' when regexp_matches(t, '\\bapprentice(ship)?s?\\b') then 'apprenticeship'
-    when regexp_matches(t, '\\b(new[-\\s]grad(uate)?|university grad(uate)?|early career)\\b') then 'new_grad' else 'other' end as kind, regexp_matches(t, '\\b(senior|staff|principal|director|head of|vp)\\b') as senior,
-    case when regexp_matches(t, '\\b(software|developer|swe|backend|frontend|full.?stack)\\b') then 'software' when regexp_matches(t, '\\b(machine learning|deep learning|ml)\\b') then 'machine_learning' when regexp_matches(t, '\\b(data (scientist|science|engineer|analyst)|analytics)\\b') then 'data'
-    when regexp_matches(t, '\\b(hardware|firmware|asic|fpga)\\b') then 'hardware' when regexp_matches(t, '\\b(quant|trading)\\b') then 'quant' when regexp_matches(t, '\\b(designer?|ux|ui)\\b') then 'design' when regexp_matches(t, '\\bproduct manage(r|ment)\\b') then 'product' end as strong from s),
-    o as (select *, case when kind = 'other' then 'out_of_scope' when senior or strong is null then 'ambiguous' else 'in_scope' end as status, case when kind = 'other' and senior then 'senior' when kind = 'other' then 'not_early_career' when senior then 'seniority_conflict' when strong is null then 'discipline_unknown' else 'listed' end as reason from k),
-    g as (select role_id, arg_min(status, posting_id) as st, arg_min(reason, posting_id) as re, first(case when status = 'in_scope' then strong end order by posting_id) as di, first(case when status = 'in_scope' then kind end order by posting_id) as ty, count(distinct status || coalesce(case when status = 'in_scope' then strong end, '-') || coalesce(case when status = 'in_scope' then kind end, '-')) as n, bool_and(status = 'out_of_scope') as allout from o group by 1)
-    select role_id, case when allout or n = 1 then st else 'ambiguous' end as status, case when allout or n = 1 then re else 'alias_conflict' end as reason, case when allout or n = 1 then di end as discipline, case when allout or n = 1 then ty end as type from g""")
-def role_scope(spark, d):
-    t = titles(spark, d).withColumn("role_id", F.floor(F.col("posting_id") / 3).cast("bigint"))
-    return E.role_scope(t, "role_id", ["posting_id"])
-
-
 @query("role_resolution")
 def role_resolution(spark, d):
     p = load(spark, d, "part")
