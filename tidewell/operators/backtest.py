@@ -1,4 +1,4 @@
-"""Rolling-origin evaluation: forecast each past cycle from what was known before it.
+"""Rolling-origin evaluation: forecast each past cycle from what was known before it, cycles grouped anew for each cutoff.
 
 A target is a collapsed cycle; it is forecast by the very model of ``forecast``, from
 its role's other cycles, the company's and the family's season and the role's
@@ -31,13 +31,13 @@ def targets(collapsed: DataFrame, first_year: int, last_year: int, cutoff_days:
     )
 
 
-def evidence(target_rows: DataFrame, cycled: DataFrame) -> DataFrame:
-    """(target, own event) pairs a forecaster could have seen, collapsed for each target after filtering."""
-    other = cycled.select("role_id", "event_id", "cycle", "cycle_key", "opened_on", "available_on", "precision", "quality", "match", "uncertainty")
+def evidence(target_rows: DataFrame, events: DataFrame) -> DataFrame:
+    """(target, own event) pairs a forecaster could have seen, grouped into cycles for each target after filtering."""
+    other = events.select("role_id", "event_id", "cycle_key", "opened_on", "available_on", "precision", "quality", "match", "uncertainty")
     # A held-out cycle is known by its key, or without keys by nearness in time.
     same = F.when(F.col("cycle_key").isNotNull() & F.col("target_key").isNotNull(), F.col("cycle_key") == F.col("target_key")).otherwise(F.abs(F.datediff("opened_on", "target_on")) < C.CYCLE_DAYS)
     seen = target_rows.join(other, "role_id").where((F.col("event_id") != F.col("target_id")) & ~same & (F.col("opened_on") <= F.col("cutoff")) & (F.col("available_on") <= F.col("cutoff")))
-    return C.collapse(seen, "target_id")
+    return C.collapse(C.assign(seen, "target_id"), "target_id")
 
 
 #: Why a target is left out.
@@ -46,13 +46,13 @@ NO_EVIDENCE = "no temporal evidence was available by the forecast cutoff"
 SPARSE = "sparse role history had no sourced company or role-family prior"
 
 
-def cases(target_rows: DataFrame, seen: DataFrame, roles: DataFrame, cycled: DataFrame, signals: DataFrame, scale: DataFrame) -> DataFrame:
+def cases(target_rows: DataFrame, seen: DataFrame, roles: DataFrame, events: DataFrame, signals: DataFrame, scale: DataFrame) -> DataFrame:
     """Forecast and score of each target, or the reason for leaving it out.
 
-    ``seen`` is what ``evidence`` gives; ``cycled`` all events with their cycles; ``scale`` (company_id, scale)."""
+    ``seen`` is what ``evidence`` gives; ``events`` all openings; ``scale`` (company_id, scale)."""
     placed = target_rows.join(roles.select("role_id", "company_id"), "role_id", "left").join(scale, "company_id", "left")
     asked = placed.where("actual_start is not null").select(F.col("target_id").alias("ask_id"), "role_id", F.col("cutoff").alias("as_of"), "scale")
-    lent = materialize(M.priors(asked, roles, M.spans(cycled)), "lent")
+    lent = materialize(M.priors(asked, roles, C.standing(events)), "lent")
     made = M.evaluate(asked, M.parts(asked, seen.withColumnRenamed("target_id", "ask_id"), lent), M.signal_factors(signals, asked))
     t = target_rows.join(made.withColumnRenamed("ask_id", "target_id"), "target_id", "left")
     skip = F.when(F.col("actual_start").isNull(), OBSERVED_ONLY).when(F.col("refusal") == "no_evidence", NO_EVIDENCE).when(F.col("refusal").isNotNull(), SPARSE)
@@ -109,10 +109,16 @@ lenders as (
     select a.ask_id, a.as_of, 'own' as kind, a.role_id as lender, target_id, target_key, target_on from asks a
     union all select a.ask_id, a.as_of, 'company', e.role_id, null, null, null from asks a join roles r using (role_id) join roles e on {M.LENDS} e.company_id = r.company_id and e.role_id <> r.role_id
     union all select a.ask_id, a.as_of, 'family', e.role_id, null, null, null from asks a join roles r using (role_id) join roles e on {M.LENDS} e.family = r.family and e.company_id <> r.company_id),
-told_events as (select * from (select l.ask_id, l.kind, e.opened_on, e.precision, e.quality, e.match, e.uncertainty, row_number() over (partition by l.ask_id, l.kind, e.role_id, e.cycle order by e.opened_on,
-        case e.precision when 'exact' then 2 when 'bounded' then 1 else 0 end desc, e.match desc, e.quality desc, e.uncertainty asc nulls last, e.available_on, e.event_id) as rn
-    from lenders l join cycled e on e.role_id = l.lender and e.opened_on <= l.as_of and e.available_on <= l.as_of
-        and (l.kind <> 'own' or (e.event_id <> l.target_id and not (case when e.cycle_key is not null and l.target_key is not null then e.cycle_key = l.target_key else abs(e.opened_on - l.target_on) < 300 end)))) where rn = 1),
+met as materialized (select l.ask_id, l.kind, l.lender, e.event_id, e.opened_on, e.precision, e.quality, e.match, e.uncertainty, e.available_on, e.cycle_key
+    from lenders l join openings e on e.role_id = l.lender and e.opened_on <= l.as_of and e.available_on <= l.as_of
+        and (l.kind <> 'own' or (e.event_id <> l.target_id and not (case when e.cycle_key is not null and l.target_key is not null then e.cycle_key = l.target_key else abs(e.opened_on - l.target_on) < 300 end)))),
+met_days as materialized (select *, row_number() over (partition by ask_id, kind, lender order by opened_on) as rn from (select distinct ask_id, kind, lender, opened_on from met where cycle_key is null)),
+met_walk as (select ask_id, kind, lender, rn, opened_on, opened_on as anchor from met_days where rn = 1
+    union all select d.ask_id, d.kind, d.lender, d.rn, d.opened_on, case when d.opened_on - w.anchor < 300 then w.anchor else d.opened_on end
+    from met_walk w join met_days d on d.ask_id = w.ask_id and d.kind = w.kind and d.lender = w.lender and d.rn = w.rn + 1),
+told_events as (select * from (select m.*, row_number() over (partition by m.ask_id, m.kind, m.lender, m.cycle_key, w.anchor order by m.opened_on,
+        case m.precision when 'exact' then 2 when 'bounded' then 1 else 0 end desc, m.match desc, m.quality desc, m.uncertainty asc nulls last, m.available_on, m.event_id) as rn
+    from met m left join met_walk w on m.cycle_key is null and w.ask_id = m.ask_id and w.kind = m.kind and w.lender = m.lender and w.opened_on = m.opened_on) where rn = 1),
 own as (select ask_id, opened_on, quality, match, precision, uncertainty from told_events where kind = 'own'),
 lent as (select ask_id, kind, opened_on, quality, match, precision, uncertainty from told_events where kind <> 'own'),
 {M.SQL.strip()},

@@ -48,6 +48,39 @@ def collapse(events: DataFrame, *keys: str) -> DataFrame:
     return events.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def _best(events: DataFrame, *keys: str) -> DataFrame:
+    """Events of a group with the days on which each is the best one known: from_on, and until_on when a better one comes."""
+    better = preference(Window.partitionBy(*keys)).rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("until_on", F.min("from_on").over(better)).where("until_on is null or from_on < until_on")
+
+
+def standing(events: DataFrame) -> DataFrame:
+    """Each event with the days on which it stands for a cycle, cycles being grouped anew from what is known on each day.
+
+    A later known event can move the days from which cycles count, so an event may stand for its cycle, lose
+    that place and take it again: a row for each such span. What is known changes on days only, and a cycle
+    is stood for by an event of its first day, so a role gives a row for each of its days and cycles, not pairs of events."""
+    known = events.withColumn("from_on", F.greatest("opened_on", "available_on"))
+    keyed = _best(known.where("cycle_key is not null"), "role_id", "cycle_key")
+    bare = known.where("cycle_key is null")
+    day = F.struct("opened_on", "at")
+    days = bare.groupBy("role_id", "opened_on").agg(F.min("from_on").alias("at")).groupBy("role_id").agg(F.array_sort(F.collect_list(day)).alias("days"))
+    news = days.withColumn("news", F.array_sort(F.array_distinct(F.transform("days", lambda d: d["at"])))).select("role_id", "days", F.posexplode("news").alias("i", "since"), F.col("news").alias("all"))
+
+    def step(anchors: Column, d: Column) -> Column:
+        near = (F.size(anchors) > 0) & (F.datediff(d["opened_on"], F.element_at(anchors, -1)) < CYCLE_DAYS)
+        return F.when((d["at"] > F.col("since")) | F.coalesce(near, F.lit(False)), anchors).otherwise(F.concat(anchors, F.array(d["opened_on"])))
+
+    first = F.aggregate("days", F.array().cast("array<date>"), lambda a, d: F.when(F.size(a) == 0, F.when(d["at"] > F.col("since"), a).otherwise(F.array(d["opened_on"]))).otherwise(step(a, d)))
+    turns = news.select("role_id", "i", F.explode(first).alias("opened_on"), "since", F.get("all", F.col("i") + 1).alias("till"))
+    # Spans that follow each other without a break are one.
+    row = Window.partitionBy("role_id", "opened_on").orderBy("i")
+    turns = turns.withColumn("run", F.col("i") - F.row_number().over(row)).groupBy("role_id", "opened_on", "run").agg(F.min("since").alias("since"), F.max_by("till", "i").alias("till"))
+    joined = _best(bare, "role_id", "opened_on").join(turns, ["role_id", "opened_on"])
+    both = joined.withColumns({"from_on": F.greatest("from_on", "since"), "until_on": F.least("until_on", "till")}).where("until_on is null or from_on < until_on")
+    return keyed.unionByName(both.select(keyed.columns))
+
+
 #: DuckDB: cycles of the reading ``openings`` (a recursive walk over each role's unkeyed dates) and their representatives.
 SQL = """
 unkeyed as (select role_id, opened_on, row_number() over (partition by role_id order by opened_on) as rn

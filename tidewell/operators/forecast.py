@@ -74,13 +74,6 @@ def seasonality(measured_cycles: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def spans(cycled: DataFrame) -> DataFrame:
-    """Each event with the days on which it stands for its cycle: from when it is known until a better one is."""
-    at = F.greatest("opened_on", "available_on")
-    better = C.preference(Window.partitionBy("role_id", "cycle")).rowsBetween(Window.unboundedPreceding, -1)
-    return cycled.withColumns({"from_on": at, "until_on": F.min(at).over(better)}).where("until_on is null or from_on < until_on")
-
-
 _SUMS = ("n", "w", "sin", "cos", "m", "t")
 _ROLE = ("company_id", "family", "level", "season")
 

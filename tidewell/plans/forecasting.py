@@ -105,9 +105,9 @@ _CASES = f", {C.SQL.strip()}, {B.SQL.strip()} "
 
 
 def _cases(spark, d):
-    cycled = materialize(_cycled(spark, d), "cycled")
-    t = materialize(B.targets(C.collapse(cycled), 1998, 2000), "targets")
-    return B.cases(t, B.evidence(t, cycled), S.roles(spark, d), cycled, S.signals(spark, d), _scale(spark, d))
+    events = S.openings(spark, d)
+    t = materialize(B.targets(_collapsed(spark, d), 1998, 2000), "targets")
+    return B.cases(t, B.evidence(t, events), S.roles(spark, d), events, S.signals(spark, d), _scale(spark, d))
 
 
 @query("backtest_cases", S.with_sql("openings roles companies signals", _CASES + "select * exclude (target_quality) from cases"))
