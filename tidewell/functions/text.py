@@ -8,8 +8,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Word lists of the title and company rules.
-LEGAL_FORMS = ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "plc")
-TITLE_STOPS = ("the", "a", "an", "and", "of", "for", "to", "in", "at", "intern", "internship", "new", "grad", "graduate", "program", "role", "position", "summer", "fall", "spring", "winter")
+LEGAL_FORMS = ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "company", "co")
+TITLE_STOPS = (
+    "a", "about", "an", "and", "any", "anyone", "anything", "application", "applications", "apply", "are", "as", "at", "be", "been", "best", "bet", "but", "by", "can", "career", "careers", "chance", "chances", "co", "companies",
+    "company", "competitive", "coop", "coops", "could", "current", "currently", "deadline", "deadlines", "deal", "did", "do", "does", "early", "expect", "expected", "eye", "for", "forecast", "from", "get", "give", "going", "good",
+    "grad", "grads", "graduate", "graduates", "had", "has", "have", "hear", "heard", "hire", "hiring", "historical", "history", "how", "i", "if", "in", "intern", "interns", "internship", "internships", "into", "is", "it", "its",
+    "job", "jobs", "keep", "know", "last", "lately", "like", "likely", "look", "looking", "many", "me", "month", "more", "movement", "much", "my", "need", "new", "news", "next", "now", "odds", "of", "on", "op", "open", "opened",
+    "opening", "openings", "opens", "ops", "or", "our", "out", "people", "plan", "position", "positions", "posted", "posting", "postings", "predict", "prediction", "prepare", "preparing", "program", "programs", "reach", "ready",
+    "recruiting", "role", "roles", "rundown", "s", "season", "should", "show", "so", "someone", "soon", "start", "starts", "team", "teams", "tell", "than", "that", "the", "their", "them", "then", "there", "these", "they", "think",
+    "thinking", "this", "those", "time", "timing", "to", "too", "track", "tracking", "typical", "typically", "unspecified", "update", "updates", "us", "usually", "was", "we", "were", "what", "whats", "when", "where", "which", "who",
+    "why", "will", "window", "with", "worth", "worthwhile", "would", "year", "years", "you", "your",
+)
+INFLECTIONS = {
+    "analysts": "analyst", "designers": "designer", "developers": "developer", "engineering": "engineer", "engineers": "engineer", "managers": "manager", "representatives": "representative", "researchers": "researcher", "scientists": "scientist",
+}
+#: What each step of normalising a title replaces, and by what.
+TITLE_STEPS = (
+    (r"^\s*apply\s+(?:for|to|now\s+for)\s+", " "), (r"\b(?:19|20)\d{2}\b", " "), (r"\b(?:university|campus|early career|students?)\b", " "), (r"\bswe\b", "software engineer"),
+    (r"\bsoftware engineering internships?\b", "software engineer intern"), (r"\bsoftware engineer internships?\b", "software engineer intern"), (r"\binternships?\b", "intern"), (r"\bnew[- ]grad(?:uate)?\b", "new grad"), (r"[^a-z0-9+]+", " "),
+)
+#: Levels, families, specializations and tracks by the first rule that applies.
+LEVELS = (
+    ("internship", r"\b(intern|internship|co-op|coop)\b"), ("apprenticeship", r"\b(apprentice|apprenticeship)\b"), ("new_grad", r"\b(new grad|new graduate|graduate program|entry[- ]level|university graduate)\b"),
+    ("full_time", r"\b(senior|staff|principal|manager|director|lead)\b"),
+)
+FAMILIES = (
+    ("machine_learning", ("machine learning", "ml engineer", "artificial intelligence")), ("data_science", ("data scientist", "data science")), ("data_engineering", ("data engineer",)),
+    ("software_engineering", ("software engineer", "software developer", "full stack", "frontend", "backend")), ("hardware_engineering", ("hardware engineer", "electrical engineer", "silicon")),
+    ("mechanical_engineering", ("mechanical engineer", "robotics engineer")), ("product_management", ("product manager", "apm")), ("product_design", ("product designer", "ux designer", "user experience")),
+    ("finance", ("financial analyst", "finance")), ("consulting", ("consultant", "consulting")),
+)
+SPECIALIZATIONS = (
+    ("security", ("security", "cyber")), ("infrastructure", ("infrastructure", "distributed systems", "cloud platform")), ("frontend", ("frontend", "front end", "web ui")), ("backend", ("backend", "back end", "server-side")),
+    ("mobile", ("ios", "android", "mobile")), ("machine_learning", ("machine learning", " ml ", "artificial intelligence")), ("embedded", ("embedded", "firmware")),
+)
+TRACKS = (
+    ("apprenticeship", r"\bapprentice(?:s|ships?)?\b"), ("internship", r"\b(?:interns?|internships?|co-?ops?)\b"),
+    ("new_grad", r"\b(?:new[- ]grads?|new graduates?|graduate programs?|grad programs?|entry[- ]level)\b"),
+)
 TRACKING = "^(utm_[a-z]+|gclid|fbclid|ref|source|gh_src)="
 
 
@@ -18,12 +54,8 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 def normalize_title(c: Column) -> Column:
-    """Lower case, without lead-in, years and cohort words, with one spelling for common terms."""
-    steps = (
-        (r"^\s*apply\s+(for|to|now\s+for)\s+", ""), (r"\b20[0-9]{2}\b", " "), (r"\b(cohort|class of|batch)\b", " "), (r"\bswe\b", "software engineer"),
-        (r"\binternships?\b", "intern"), (r"\bnew[-\s]grad(uate)?s?\b", "new grad"), (r"[^a-z0-9+]+", " "),
-    )
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, F.lower(c)))
+    """Lower case, without lead-in, years and words of the cohort, with one spelling for common terms."""
+    return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), TITLE_STEPS, F.lower(c)))
 
 
 def normalize_company(c: Column) -> Column:
@@ -35,17 +67,33 @@ def slug(c: Column) -> Column:
 
 
 def identifying_tokens(title: Column, company: Column) -> Column:
-    """Words of a title that tell it from others: no stop words, none of the company's."""
-    words = F.filter(_all(normalize_title(title), "[a-z0-9+]+"), lambda w: ~w.isin(*TITLE_STOPS))
-    return F.array_sort(F.array_except(words, _all(normalize_company(company), "[a-z0-9]+")))
+    """Words of a title that tell it from others: inflections as one, no stop words, none of the company's."""
+    same = F.create_map(*[F.lit(v) for pair in INFLECTIONS.items() for v in pair])
+    words = F.transform(_all(normalize_title(title), "[a-z0-9+]+"), lambda w: F.coalesce(F.element_at(same, w), w))
+    told = F.filter(words, lambda w: ~w.isin(*TITLE_STOPS))
+    return F.array_sort(F.array_except(told, _all(normalize_company(company), "[a-z0-9]+")))
 
 
-def level(c: Column) -> Column:
-    t = F.lower(c)
-    return (
-        F.when(t.rlike(r"\b(intern|interns|internship|internships|co-?op)\b"), "internship").when(t.rlike(r"\bapprentice(ship)?s?\b"), "apprenticeship")
-        .when(t.rlike(r"\b(new[-\s]grad(uate)?|university grad(uate)?|early career)\b"), "new_grad").when(t.rlike(r"\b(senior|staff|principal|lead|manager)\b"), "full_time").otherwise("unknown")
-    )
+def _first_rule(text: Column, rules: tuple, otherwise: str) -> Column:
+    return F.coalesce(*[F.when(text.rlike(rx), name) for name, rx in rules], F.lit(otherwise))
+
+
+def level(c: Column, employment: Column | None = None, description: Column | None = None) -> Column:
+    """What a title, its employment type and the start of its description say of the level."""
+    text = F.lower(F.concat_ws(" ", c, *[v for v in (employment, None if description is None else F.left(description, F.lit(2000))) if v is not None]))
+    stated = _first_rule(text, LEVELS, "unknown")
+    return stated if employment is None else F.when((stated == "unknown") & F.lower(F.coalesce(employment, F.lit(""))).contains("full"), "full_time").otherwise(stated)
+
+
+def title_level(c: Column) -> Column:
+    """The level that a title states by itself; a bare "graduate" counts where nothing else does."""
+    stated = level(c)
+    return F.when((stated == "unknown") & F.lower(c).rlike(r"\bgraduates?\b"), "new_grad").otherwise(stated)
+
+
+def tracks(c: Column) -> Column:
+    """Early-career tracks that a question names, sorted."""
+    return F.filter(F.array(*[F.when(F.lower(c).rlike(rx), name) for name, rx in TRACKS]), lambda x: x.isNotNull())
 
 
 def stated_types(c: Column) -> Column:
@@ -55,12 +103,25 @@ def stated_types(c: Column) -> Column:
     return F.filter(F.array(*[F.when(t.rlike(rx), name) for name, rx in rules]), lambda x: x.isNotNull())
 
 
+def _first_marker(text: Column, rules: tuple, otherwise: str | None) -> Column:
+    has = lambda markers: reduce(lambda x, y: x | y, [text.contains(m) for m in markers])
+    return F.coalesce(*[F.when(has(markers), name) for name, markers in rules], F.lit(otherwise))
+
+
 def family(c: Column) -> Column:
-    t = F.lower(c)
-    return (
-        F.when(t.rlike("machine learning|data scien"), "data_science").when(t.rlike("software|developer|swe"), "software_engineering").when(t.rlike("product manag"), "product")
-        .when(t.rlike("design"), "design").when(t.rlike("quant|trading"), "quant").otherwise("other")
-    )
+    return _first_marker(normalize_title(c), FAMILIES, "other")
+
+
+def specialization(c: Column, description: Column | None = None) -> Column:
+    """The first specialization that a title or the start of its description names, or null."""
+    about = F.lit("") if description is None else F.lower(F.left(F.coalesce(description, F.lit("")), F.lit(1000)))
+    return _first_marker(F.concat(F.lit(" "), normalize_title(c), F.lit(" "), about, F.lit(" ")), SPECIALIZATIONS, None)
+
+
+def recruiting_season(c: Column, description: Column | None = None) -> Column:
+    """The first of spring, summer, fall and winter that a text names, or that it hires all year."""
+    text = F.lower(c if description is None else F.concat_ws(" ", c, F.left(description, F.lit(2000))))
+    return _first_rule(text, tuple((s, rf"\b{s}\b") for s in ("spring", "summer", "fall", "winter")) + (("year_round", r"\b(year[- ]round|rolling)\b"),), "unknown")
 
 
 def season(c: Column) -> Column:

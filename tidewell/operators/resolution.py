@@ -37,8 +37,8 @@ def features(postings: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("description", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     tokens = F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*PLAIN_WORDS) & ~w.rlike("^(19|20)[0-9]{2}$"))))
     return postings.select(
-        "posting_id", T.normalize_company(F.coalesce("company", F.lit(""))).alias("company"), F.array_join(T.stated_types(t), " ").alias("stated"), T.normalize_title(t).alias("title"), T.level(t).alias("level"),
-        T.family(t).alias("family"), T.season(t).alias("season"), location_scope(F.col("location")).alias("location"), F.array_join(tokens, " ").alias("about"), "first_seen",
+        "posting_id", T.normalize_company(F.coalesce("company", F.lit(""))).alias("company"), F.array_join(T.stated_types(t), " ").alias("stated"), T.normalize_title(t).alias("title"), T.title_level(t).alias("level"),
+        T.family(t).alias("family"), T.recruiting_season(t).alias("season"), location_scope(F.col("location")).alias("location"), F.array_join(tokens, " ").alias("about"), "first_seen",
     )
 
 

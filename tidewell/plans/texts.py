@@ -11,7 +11,7 @@ from tidewell.registry import query
 from tidewell.session import load
 
 #: Titles made from part keys: a stand-in for posting titles with years, cohorts and levels.
-_KINDS = ("Software Engineer Internship", "SWE New-Grad Program", "Apply for Data Scientist Intern", "Senior Product Manager", "Machine Learning Apprenticeship", "UI Designer (Class of 2027)", "Quant Trading Interns")
+_KINDS = ("Software Engineer Internship", "SWE New-Grad Program", "Apply for Data Scientist Intern", "Senior Product Manager", "Machine Learning Apprenticeship", "UI Designer (Class of 2027)", "Quant Trading Interns", "Graduate Hardware Engineering Program", "University Backend Developers, New-Graduate", "Cyber Security Analysts, entry level", "Campus Data Engineers Co-op 1999", "Director, Year-Round Consulting")
 _TIMES = ("Summer 2025", "Fall 2026", "", "Winter", "2024", "Spring 2031")
 
 
@@ -19,16 +19,18 @@ def titles(spark, d):
     p = load(spark, d, "part")
     k = F.col("p_partkey")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(n)) + 1).cast("int"))
-    return p.select(k.alias("posting_id"), F.concat_ws(" - ", pick(_KINDS, 7), "p_name", F.nullif(pick(_TIMES, 6), F.lit(""))).alias("title"), F.concat(F.col("p_brand"), F.lit(" Holdings, Inc.")).alias("company"), pick(("summer", "unknown"), 2).alias("role_season"))
+    return p.select(k.alias("posting_id"), F.concat_ws(" - ", pick(_KINDS, len(_KINDS)), "p_name", F.nullif(pick(_TIMES, 6), F.lit(""))).alias("title"), F.concat(F.col("p_brand"), F.lit(" Holdings, Inc.")).alias("company"), pick(("summer", "unknown"), 2).alias("role_season"))
 
 
 def _list(values):
     return "[" + ",".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-_TITLES = f"""titles as (select p_partkey as posting_id, concat_ws(' - ', {_list(_KINDS)}[(p_partkey % 7)::int + 1], p_name, nullif({_list(_TIMES)}[(p_partkey % 6)::int + 1], '')) as title, p_brand || ' Holdings, Inc.' as company, ['summer','unknown'][(p_partkey % 2)::int + 1] as role_season from part)"""
-_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '^\s*apply\s+(for|to|now\s+for)\s+', '', 'g'), '\b20[0-9]{2}\b', ' ', 'g'), '\b(cohort|class of|batch)\b', ' ', 'g'),
-    '\bswe\b', 'software engineer', 'g'), '\binternships?\b', 'intern', 'g'), '\bnew[-\s]grad(uate)?s?\b', 'new grad', 'g'), '[^a-z0-9+]+', ' ', 'g'))"""
+_TITLES = f"""titles as (select p_partkey as posting_id, concat_ws(' - ', {_list(_KINDS)}[(p_partkey % {len(_KINDS)})::int + 1], p_name, nullif({_list(_TIMES)}[(p_partkey % 6)::int + 1], '')) as title, p_brand || ' Holdings, Inc.' as company, ['summer','unknown'][(p_partkey % 2)::int + 1] as role_season from part)"""
+_NORM = "lower(title)"
+for _pattern, _by in T.TITLE_STEPS:
+    _NORM = f"regexp_replace({_NORM}, '{_pattern}', '{_by}', 'g')"
+_NORM = f"trim({_NORM})"
 _SEASON = "case regexp_extract(lower(title), '\\b(spring|summer|fall|autumn|winter)\\b', 1) when '' then 'unknown' when 'autumn' then 'fall' else regexp_extract(lower(title), '\\b(spring|summer|fall|autumn|winter)\\b', 1) end"
 
 
@@ -37,13 +39,23 @@ def title_normalize(spark, d):
     return titles(spark, d).select("posting_id", T.normalize_title(F.col("title")).alias("title"))
 
 
-@query("title_features", rf"""with {_TITLES} select posting_id, case when regexp_matches(lower(title), '\b(intern|interns|internship|internships|co-?op)\b') then 'internship' when regexp_matches(lower(title), '\bapprentice(ship)?s?\b') then 'apprenticeship'
-    when regexp_matches(lower(title), '\b(new[-\s]grad(uate)?|university grad(uate)?|early career)\b') then 'new_grad' when regexp_matches(lower(title), '\b(senior|staff|principal|lead|manager)\b') then 'full_time' else 'unknown' end as level,
-    case when regexp_matches(lower(title), 'machine learning|data scien') then 'data_science' when regexp_matches(lower(title), 'software|developer|swe') then 'software_engineering' when regexp_matches(lower(title), 'product manag') then 'product'
-    when regexp_matches(lower(title), 'design') then 'design' when regexp_matches(lower(title), 'quant|trading') then 'quant' else 'other' end as family, {_SEASON} as season from titles""")
+def _rules(text: str, rules, otherwise: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({text}, '{rx}') then '{name}'" for name, rx in rules) + f" else {otherwise} end"
+
+
+def _markers(text: str, rules, otherwise: str) -> str:
+    return "case " + " ".join("when " + " or ".join(f"contains({text}, '{m}')" for m in markers) + f" then '{name}'" for name, markers in rules) + f" else {otherwise} end"
+
+
+_SEASONS = tuple((x, rf"\b{x}\b") for x in ("spring", "summer", "fall", "winter")) + (("year_round", r"\b(year[- ]round|rolling)\b"),)
+_BARE = "case when regexp_matches(lower(title), '\\bgraduates?\\b') then 'new_grad' else 'unknown' end"
+
+
+@query("title_features", f"""with {_TITLES} select posting_id, {_rules("lower(title)", T.LEVELS, _BARE)} as level, {_markers(_NORM, T.FAMILIES, "'other'")} as family, {_markers(f"(' ' || {_NORM} || ' ')", T.SPECIALIZATIONS, "null")} as specialization,
+    {_rules("lower(title)", _SEASONS, "'unknown'")} as season, array_to_string(list_filter([{", ".join(f"case when regexp_matches(lower(title), '{rx}') then '{name}' end" for name, rx in T.TRACKS)}], lambda x: x is not null), ' ') as tracks from titles""")
 def title_features(spark, d):
     t = F.col("title")
-    return titles(spark, d).select("posting_id", T.level(t).alias("level"), T.family(t).alias("family"), T.season(t).alias("season"))
+    return titles(spark, d).select("posting_id", T.title_level(t).alias("level"), T.family(t).alias("family"), T.specialization(t).alias("specialization"), T.recruiting_season(t).alias("season"), F.array_join(T.tracks(t), " ").alias("tracks"))
 
 
 @query("cycle_key_parse", rf"""with {_TITLES}, p as (select *, regexp_extract(title, '\b(20[2-9][0-9])\b', 1) as y, {_SEASON} as s from titles)
@@ -54,6 +66,7 @@ def cycle_key_parse(spark, d):
 
 _FORMS = _list(T.LEGAL_FORMS)
 _STOPS = _list(T.TITLE_STOPS)
+_SAME = "case w " + " ".join(f"when '{a}' then '{b}'" for a, b in T.INFLECTIONS.items()) + " else w end"
 
 
 @query("company_normalize", f"with {_TITLES} select posting_id, array_to_string(list_filter(regexp_extract_all(lower(company), '[a-z0-9]+'), lambda w: not list_contains({_FORMS}, w)), ' ') as company, array_to_string(regexp_extract_all(lower(company), '[a-z0-9]+'), '_') as slug from titles")
@@ -62,7 +75,7 @@ def company_normalize(spark, d):
 
 
 @query("identifying_tokens", f"""with {_TITLES}, n as (select posting_id, {_NORM} as t, list_filter(regexp_extract_all(lower(company), '[a-z0-9]+'), lambda w: not list_contains({_FORMS}, w)) as c from titles)
-    select posting_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '[a-z0-9+]+'), lambda w: not list_contains({_STOPS}, w) and not list_contains(c, w)))), ' ') as tokens from n""")
+    select posting_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '[a-z0-9+]+'), lambda w: {_SAME}), lambda w: not list_contains({_STOPS}, w) and not list_contains(c, w)))), ' ') as tokens from n""")
 def identifying_tokens(spark, d):
     return titles(spark, d).select("posting_id", F.array_join(T.identifying_tokens(F.col("title"), F.col("company")), " ").alias("tokens"))
 
