@@ -36,6 +36,8 @@ from tidewell.session import materialize
 K = 20
 BUCKETS = 256
 EVERY = ""
+#: Texts counted at a time.
+TEXTS = 50
 #: Fixed value: a term is a run of digits, ASCII letters and everything beyond ASCII, here as bytes of UTF-8.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Fixed values of the weight: term saturation 1.2, length share 0.25, in whole numbers.
@@ -45,10 +47,11 @@ SATURATION, LENGTH_SHARE = 12, 25
 def counted(text: Column) -> Column:
     """Terms of a text with their counts; ``EVERY``, the last, counts all of them. Only ASCII letters are lower-cased."""
 
-    @F.arrow_udf("array<struct<term: string, tf: bigint>>")
-    def count(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+
+    def some(texts: pa.Array) -> pa.Array:
         offsets, terms, counts = [0], [], []
-        for one in texts.cast(pa.large_string()).cast(pa.large_binary()):
+        for one in texts:
             found = Counter(TERM.findall(one.as_py().lower())) if one.is_valid else {}
             if found:
                 terms += found.keys()
@@ -57,7 +60,15 @@ def counted(text: Column) -> Column:
                 counts.append(sum(found.values()))
             offsets.append(len(terms))
         rows = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows).cast(kind)
+
+    @F.arrow_udf("array<struct<term: string, tf: bigint>>")
+    def count(texts: pa.Array) -> pa.Array:
+        # A few texts at a time, so that a worker holds few terms as objects; freed memory goes back.
+        whole = texts.cast(pa.large_string()).cast(pa.large_binary())
+        out = pa.concat_arrays([some(whole.slice(at, TEXTS)) for at in range(0, len(whole), TEXTS)] or [pa.array([], kind)])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return count(text)
 
@@ -98,17 +109,17 @@ def weighted(asked: DataFrame, index: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def matches(asked: DataFrame, index: DataFrame, docs: int, occurrences: int) -> DataFrame:
-    """(ask, item, row, doc, score): each match scored in whole numbers, summed by item and document."""
+    """(ask, row, doc, score): each match scored in whole numbers, summed by item and document."""
     slow = F.expr(f"{100 - LENGTH_SHARE} + ({LENGTH_SHARE} * n * {docs}L) div {max(1, occurrences)}L")
-    found = index.where(F.col("term") != EVERY).join(asked.select("ask", "item", "bucket", "term", (F.col("times") * F.col("w")).alias("w")), ["bucket", "term"])
+    found = index.where(F.col("term") != EVERY).join(asked.select("ask", "bucket", "term", (F.col("times") * F.col("w")).alias("w")), ["bucket", "term"])
     part = found.withColumn("m", slow).withColumn("part", F.expr(f"w * ((1000000000 * tf) div (1000 * tf + {SATURATION} * m))"))
-    return part.groupBy("ask", "item", "row", "doc").agg(F.sum("part").alias("score"))
+    return part.groupBy("ask", "row", "doc").agg(F.sum("part").alias("score"))
 
 
 def search(index: DataFrame, asked: DataFrame, *, k: int = K) -> DataFrame:
     """(item, rank, doc, score) of the ``k`` best documents of each item, from written postings and item terms."""
     terms, docs, occurrences = weighted(asked, index)
-    scored = matches(materialize(terms, "asked"), index, docs, occurrences).where("score > 0")
+    scored = matches(materialize(terms, "weighed"), index, docs, occurrences).where("score > 0")
     best = Window.partitionBy("ask").orderBy(F.desc("score"), F.asc_nulls_last("doc"), "row")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("item", "rank", "doc", "score")
+    return ranked.join(asked.select("ask", "item").distinct(), "ask").select("item", "rank", "doc", "score")
