@@ -46,6 +46,8 @@ TRACKS = (
     ("apprenticeship", r"\bapprentice(?:s|ships?)?\b"), ("internship", r"\b(?:interns?|internships?|co-?ops?)\b"),
     ("new_grad", r"\b(?:new[- ]grads?|new graduates?|graduate programs?|grad programs?|entry[- ]level)\b"),
 )
+#: Second-level labels of public suffixes; parameters that only track.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 TRACKING = "^(utm_[a-z]+|gclid|fbclid|ref|source|gh_src)="
 
 
@@ -161,9 +163,15 @@ def identity_url(c: Column) -> Column:
 
 
 def registrable_label(c: Column) -> Column:
-    """The label before the public suffix of an address's host."""
-    host = F.lower(F.regexp_extract(c, r"^[a-zA-Z]+://([^/:?#]+)", 1))
-    return F.element_at(F.split(host, r"\."), -2)
+    """The label under which an address's host is registered."""
+    return domain_label(F.regexp_extract(c, r"^[a-zA-Z]+://([^/:?#]+)", 1))
+
+
+def domain_label(domain: Column) -> Column:
+    """The label that a domain is registered under: x of x.co.uk, of x.com and of www.x.com."""
+    labels = F.filter(F.split(F.lower(domain), r"\."), lambda w: w != "")
+    second = (F.size(labels) >= 3) & F.coalesce(F.try_element_at(labels, F.lit(-2)), F.lit("")).isin(*SECOND_LEVEL)
+    return F.coalesce(F.when(second, F.try_element_at(labels, F.lit(-3))), F.try_element_at(labels, F.lit(-2)), F.try_element_at(labels, F.lit(-1)), F.lit(""))
 
 
 def bounded_utf8(c: Column, n: int) -> Column:

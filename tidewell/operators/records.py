@@ -112,3 +112,23 @@ def cursors(passes: DataFrame, source: str) -> DataFrame:
 def month_window(as_of: Column) -> tuple[Column, Column]:
     """The rest of a day's month."""
     return as_of, F.last_day(as_of)
+
+
+def latest_outcomes(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """(event_id, role_id, year, outcome, reason) of every target that the latest run scored or skipped.
+
+    ``runs``: run_id, finished_at, created_at, metrics (JSON with skipped_targets; a run may have several such rows);
+    ``cases``: run_id, event_id, role_id, year. A target both scored and skipped counts as scored."""
+    latest = runs.orderBy(F.desc("finished_at"), F.desc("created_at"), "run_id").limit(1).select("run_id")
+    scored = cases.join(latest, "run_id", "left_semi").select("event_id", "role_id", "year").distinct()
+    item = "array<struct<target_event_id: bigint, role_id: bigint, target_year: int, reason: string>>"
+    listed = runs.join(latest, "run_id", "left_semi").select(F.explode(F.from_json("metrics", f"skipped_targets {item}")["skipped_targets"]).alias("s"))
+    skipped = listed.groupBy(F.col("s.target_event_id").alias("event_id"), F.col("s.role_id").alias("role_id"), F.col("s.target_year").alias("year")).agg(F.min("s.reason").alias("reason"))
+    rest = skipped.join(scored.select("event_id"), "event_id", "left_anti")
+    told = lambda df, outcome, reason: df.select("event_id", "role_id", "year", F.lit(outcome).alias("outcome"), reason.alias("reason"))
+    return told(scored, "scored", F.lit(None).cast("string")).unionByName(told(rest, "skipped", F.col("reason")))
+
+
+def page_of(rows: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
+    """One bounded page in a total order: at most 100 rows."""
+    return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 0), 100))

@@ -120,7 +120,9 @@ def follows(spark, d):
 
 def covered_roles(roles, follow_rows):
     """(user_id, role_id) of roles a user follows directly, by company, by family or by track: four
-    equal-key joins united. An OR in one condition would compare every role with every follow."""
+    equal-key joins united. An OR in one condition would compare every role with every follow. Follows
+    that say the same are one before they meet roles, so a pair arises at most once a kind."""
+    follow_rows = follow_rows.select("user_id", "kind", "target").distinct()
     keyed = {"role": F.col("role_id").cast("string"), "company": F.col("company_id").cast("string"), "family": F.col("family"), "track": F.col("level")}
     parts = [roles.select("role_id", key.alias("target")).join(follow_rows.where(F.col("kind") == kind).select("user_id", "target"), "target").select("user_id", "role_id") for kind, key in keyed.items()]
     out = parts[0]
@@ -160,9 +162,16 @@ def onboarding_seed(spark, d):
     return top.withColumn("total", total.scalar()).select("role_id", "company", "confidence", "total")
 
 
-@query("featured_program", S.with_sql(_BASE, f""", {FACTS_SQL}, spread as (select role_id, count(distinct year(opened_on)) as years, max(dayofyear(opened_on)) - min(dayofyear(opened_on)) as width from openings group by 1)
-    select role_id, years, width from spread join facts using (role_id) order by years >= 3 desc, width, days_until nulls last, role_id limit 1"""))
+@query("featured_program", S.with_sql(_BASE, f""", {FACTS_SQL}, gaps as (select role_id, year(opened_on) as y, coalesce(lead(doy) over w - doy, 365 - doy + min(doy) over (partition by role_id)) as gap from (select *, least(dayofyear(opened_on), 365) as doy from openings) window w as (partition by role_id order by doy, event_id)),
+    rhythm as (select role_id, count(distinct y) as years, 365 - max(gap) as width from gaps group by 1)
+    select role_id, years, width from rhythm join facts using (role_id) order by years >= 3 desc, case when years >= 3 then width end nulls last, years desc, days_until nulls last, role_id limit 1""".replace("years desc,", "case when years < 3 then years end desc nulls last,")))
 def featured_program(spark, d):
-    s = S.openings(spark, d).groupBy("role_id").agg(F.countDistinct(F.year("opened_on")).alias("years"), (F.max(F.dayofyear("opened_on")) - F.min(F.dayofyear("opened_on"))).alias("width"))
+    """Of roles with openings in three years or more, the one whose days lie closest together on the circle of the year; else
+    the one of most years."""
+    o = S.openings(spark, d).withColumn("doy", F.least(F.dayofyear("opened_on"), F.lit(365)))
+    gap = F.coalesce(F.lead("doy").over(Window.partitionBy("role_id").orderBy("doy", "event_id")) - F.col("doy"), 365 - F.col("doy") + F.min("doy").over(Window.partitionBy("role_id")))
+    s = o.withColumn("gap", gap).groupBy("role_id").agg(F.countDistinct(F.year("opened_on")).alias("years"), (365 - F.max("gap")).alias("width"))
     j = s.join(facts(spark, d).select("role_id", "days_until"), "role_id")
-    return j.orderBy((F.col("years") >= 3).desc(), "width", F.col("days_until").asc_nulls_last(), "role_id").limit(1).select("role_id", "years", "width")
+    steady = F.col("years") >= 3
+    order = (steady.desc(), F.when(steady, F.col("width")).asc_nulls_last(), F.when(~steady, F.col("years")).desc_nulls_last(), F.col("days_until").asc_nulls_last(), F.col("role_id"))
+    return j.orderBy(*order).limit(1).select("role_id", "years", "width")

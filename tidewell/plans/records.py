@@ -204,7 +204,37 @@ def skip_rate(spark, d):
 
 @query("token_containment", rf"""with {_TITLES}, w as (select posting_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) as t from titles) select a.posting_id, round(len(list_intersect(a.t, b.t)) / len(a.t)::double, 6) as share, len(list_intersect(a.t, b.t)) = len(a.t) as contained from w a join w b on b.posting_id = a.posting_id + 7""")
 def token_containment(spark, d):
-    """The share of a title's words that the title of the same kind after it has too."""
+    """The share of a title's words that the title of the same kind after it has too; null for a title without words."""
     w = titles(spark, d).select("posting_id", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
     j = w.join(w.select((F.col("posting_id") - 7).alias("posting_id"), F.col("t").alias("u")), "posting_id")
-    return j.select("posting_id", F.round(F.size(F.array_intersect("t", "u")) / F.size("t"), 6).alias("share"), (F.size(F.array_except("t", "u")) == 0).alias("contained"))
+    return j.select("posting_id", F.round(F.try_divide(F.size(F.array_intersect("t", "u")), F.size("t")), 6).alias("share"), (F.size(F.array_except("t", "u")) == 0).alias("contained"))
+
+
+def _runs(spark, d):
+    """Backtest runs: one for each nation, its customers' orders being targets; those not filled were skipped, and some of both."""
+    o = load(spark, d, "orders").join(load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("run_id")), "o_custkey")
+    k, year = F.col("o_orderkey"), F.year("o_orderdate")
+    cases = o.where("o_orderstatus = 'F'").select("run_id", k.alias("event_id"), F.col("o_custkey").alias("role_id"), year.alias("year"))
+    item = F.struct(k.alias("target_event_id"), F.col("o_custkey").alias("role_id"), year.alias("target_year"), F.concat(F.lit("reason "), "o_orderstatus", (k % 3).cast("string")).alias("reason"))
+    left = o.where((F.col("o_orderstatus") != "F") | (k % 5 == 0))
+    # A run's skipped targets lie in documents of bounded size.
+    notes = left.groupBy("run_id", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)).alias("part")).agg(F.to_json(F.struct(F.collect_list(item).alias("skipped_targets"))).alias("metrics"))
+    ends = o.groupBy("run_id").agg(F.max("o_orderdate").alias("finished_at"), F.min("o_orderdate").alias("created_at"))
+    return notes.join(ends, "run_id").select("run_id", "finished_at", "created_at", "metrics"), cases
+
+
+_OUTCOMES = """t as (select o_orderkey as event_id, o_custkey as role_id, year(o_orderdate) as year, o_orderdate, o_orderstatus, c_nationkey as run_id from orders join customer on c_custkey = o_custkey),
+    latest as (select run_id from t group by 1 having count(*) filter (o_orderstatus <> 'F' or event_id % 5 = 0) > 0 order by max(o_orderdate) desc, min(o_orderdate) desc, run_id limit 1),
+    outcomes as (select event_id, role_id, year, case o_orderstatus when 'F' then 'scored' else 'skipped' end as outcome, case when o_orderstatus <> 'F' then 'reason ' || o_orderstatus || (event_id % 3) end as reason from t join latest using (run_id))"""
+
+
+@query("latest_outcomes", f"with {_OUTCOMES} select * from outcomes")
+def latest_outcomes(spark, d):
+    return R.latest_outcomes(*_runs(spark, d))
+
+
+@query("replay_page", f"with {_OUTCOMES} select event_id, role_id, outcome, o_orderdate::date as opened_on from outcomes join orders on o_orderkey = event_id order by o_orderdate::date desc, role_id, event_id limit 20 offset 20")
+def replay_page(spark, d):
+    on = load(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("opened_on"))
+    rows = R.latest_outcomes(*_runs(spark, d)).join(on, "event_id").select("event_id", "role_id", "outcome", "opened_on")
+    return R.page_of(rows, 20, 20, F.desc("opened_on"), F.col("role_id"), F.col("event_id"))

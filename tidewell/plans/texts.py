@@ -95,9 +95,11 @@ def url_identity(spark, d):
     return load(spark, d, "pages").select("page_id", T.identity_url(F.col("url")).alias("url"))
 
 
-@query("registrable_label", r"select page_id, string_split(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '.')[-2] as label from pages")
+@query("registrable_label", rf"""with h as (select page_id, string_split(lower(regexp_extract(case when page_id % 4 = 0 then regexp_replace(url, '^([a-z]+://[^/:?#]+)', '\1.co.uk') else url end, '^[a-zA-Z]+://([^/:?#]+)', 1)), '.') as l from pages)
+    select page_id, case when len(l) >= 3 and l[-2] in {T.SECOND_LEVEL!r} then l[-3] else l[-2] end as label from h""")
 def registrable_label(spark, d):
-    return load(spark, d, "pages").select("page_id", T.registrable_label(F.col("url")).alias("label"))
+    url = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", "^([a-z]+://[^/:?#]+)", "$1.co.uk")).otherwise(F.col("url"))
+    return load(spark, d, "pages").select("page_id", T.registrable_label(url).alias("label"))
 
 
 @query("strip_html", r"""select page_id, left(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')), 4000) as text from pages""")
@@ -171,7 +173,7 @@ def parsed_dates(spark, d):
     select query_id, vec_id, r::int as rank from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_cosine_similarity(q::double[], embedding::double[]), 9) desc, vec_id) as r from q, embeddings where vec_id <> query_id) where r <= 5""")
 def cosine_topk(spark, d):
     """Every row whose id is divisible by 50 against all rows, in blocks of at most about 200 queries:
-    a block is one row, and every row is scored where it lies."""
+    a block is one row, and every row is scored where it lies. A vector of zeros is like no other: 0."""
     e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
     e = e.withColumn("u", norm("v"))
@@ -180,6 +182,6 @@ def cosine_topk(spark, d):
     blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("k")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("u").alias("n"))).alias("block"))
     scored = e.join(blocks.select("block")).select("vec_id", "v", "u", F.explode("block").alias("b")).where("vec_id <> b.query_id")
     dot = F.aggregate(F.zip_with("v", "b.q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    s = scored.select(F.col("b.query_id").alias("query_id"), "vec_id", F.round(dot / (F.col("u") * F.col("b.n")), 9).alias("s"))
+    s = scored.select(F.col("b.query_id").alias("query_id"), "vec_id", F.round(F.coalesce(F.try_divide(dot, F.col("u") * F.col("b.n")), F.lit(0.0)), 9).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "vec_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", "rank")
