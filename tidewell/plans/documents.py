@@ -44,12 +44,6 @@ def source_archive_index(spark, d):
     return U.archive_index(docs).select("source", "captured_at", "original")
 
 
-@query("page_routes", """select page_id, 'none' as route from pages""")
-def page_routes(spark, d):
-    p = load(spark, d, "pages").select("page_id", F.col("html").alias("body"))
-    return U.page_postings(p).select("page_id", "route").distinct()
-
-
 @query("role_resolution")
 def role_resolution(spark, d):
     p = load(spark, d, "part")
