@@ -2,7 +2,7 @@
 
 Each function takes a table with one document in ``body`` (text, as a file or a page
 table gives it) and returns one row for each posting, with the fields by which
-postings are known. Malformed documents give no rows; ``diagnostics`` counts them."""
+postings are known. Malformed documents give no rows; ``ladder.diagnostics`` tells those of pages."""
 
 from __future__ import annotations
 
