@@ -52,7 +52,9 @@ def cases(target_rows: DataFrame, seen: DataFrame, roles: DataFrame, events: Dat
     ``seen`` is what ``evidence`` gives; ``events`` all openings; ``scale`` (company_id, scale)."""
     placed = target_rows.join(roles.select("role_id", "company_id"), "role_id", "left").join(scale, "company_id", "left")
     asked = placed.where("actual_start is not null").select(F.col("target_id").alias("ask_id"), "role_id", F.col("cutoff").alias("as_of"), "scale")
-    lent = materialize(M.priors(asked, roles, C.standing(events)), "lent")
+    # Both are read several times: written once.
+    seen, stood = materialize(seen, "seen"), materialize(C.standing(events), "standing")
+    lent = materialize(M.priors(asked, roles, stood), "lent")
     made = M.evaluate(asked, M.parts(asked, seen.withColumnRenamed("target_id", "ask_id"), lent), M.signal_factors(signals, asked))
     t = target_rows.join(made.withColumnRenamed("ask_id", "target_id"), "target_id", "left")
     skip = F.when(F.col("actual_start").isNull(), OBSERVED_ONLY).when(F.col("refusal") == "no_evidence", NO_EVIDENCE).when(F.col("refusal").isNotNull(), SPARSE)
