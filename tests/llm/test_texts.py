@@ -363,3 +363,57 @@ def test_wrappers_are_union_free(spark):
     a, b = "html body div p#0 / / /", "html body div (p#0)+ ul (li#0)+ / / / /"
     nodes = lambda s: [{"sym": x, "opens": o, "closes": c, "optional": False, "low": k, "high": k + 1, "first": 1, "last": 2, "chars": 5} for k, (x, o, c) in enumerate(html_extract.read(s))]
     assert html_extract.express(html_extract.align(nodes(a), nodes(b))) == "html body div (p#0)+ ul? (li#0)+? / / / /?"
+
+
+def _site(spark, page):
+    """The texts of six pages of one host, ``page(i)`` each."""
+    df = spark.createDataFrame([(i, f"https://names.example.com/{i}", page(i)) for i in range(6)], "page_id bigint, url string, html string")
+    return [r["text"] for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def _story(i, n=4):
+    return [f"Paragraph {k} of story {i} tells what happened to {['ann', 'bob', 'cy', 'di', 'ed', 'flo'][(i + k) % 6]} on day {i * 7 + k}." for k in range(n)]
+
+
+_MENU = "<div class='menu'><a href='/'>Home</a> <a href='/a'>About</a></div>"
+_NOTE = "<div class='comments'><p>Reader {0} says it is rubbish</p><p>Reader {0}{0} agrees</p></div>"
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<div class='content has-sidebar'>", "</div>"), ("<main><section class='story share'>", "</section></main>"), ("<div class='legal'>", "</div>"), ("<div class='comments-page'>", "</div>"),
+        ("<article><section class='legal'>", "</section></article>"), ("<article><div class='promo-free'>", "</div></article>"), ("<div class='page no-ads'><div class='side'>", "</div></div>"),
+    ],
+)
+def test_html_names_never_erase_an_article(spark, before, after):
+    page = lambda i: f"<body>{_MENU}{before}<h1>Headline {i}</h1>{''.join(f'<p>{p}</p>' for p in _story(i))}{after}<div class='footer'>All rights</div></body>"
+    assert _site(spark, page) == ["\n\n".join([f"Headline {i}", *_story(i)]) for i in range(6)]
+
+
+def test_html_parts_of_an_article(spark):
+    def page(i):
+        a, b, c, d = _story(i)
+        head = f"<header><h1>Headline {i}</h1><p>{a}</p><div class='byline'>By {i}</div></header>"
+        return f"<body>{_MENU}<article>{head}<p class='side note'>{b}</p><p>{c}</p><div class='notice'>Read our terms</div><p>{d}</p><div class='advert'>Buy {i} now</div>{_NOTE.format(i)}</article></body>"
+
+    assert _site(spark, page) == ["\n\n".join([f"Headline {i}", *_story(i)]) for i in range(6)]
+
+
+def test_html_repeated_and_linked_paragraphs_beside_fields(spark):
+    def page(i):
+        a, b, _, _ = _story(i)
+        return f"<body>{_MENU}<div class='x'><h2>Daily report</h2><p>{a}</p><h3>Part {i}</h3><p>{b}</p><h4>Links</h4><p><a href='/{i}'>All about story {i} and its many sequels</a></p><h5>End</h5><blockquote>That is all for today.</blockquote></div><div>Imprint</div></body>"
+
+    assert _site(spark, page) == ["\n\n".join(["Daily report", _story(i)[0], f"Part {i}", _story(i)[1], "Links", f"All about story {i} and its many sequels", "End", "That is all for today."]) for i in range(6)]
+
+
+def test_html_many_unlike_children_and_odd_tables(spark):
+    import time
+
+    start = time.time()
+    nodes, blocks = html_extract.parse("<body>" + "".join(f"<x{k}>t{k}</x{k}>" for k in range(50_000)))
+    assert len(blocks) == 50_000 and time.time() - start < 5
+    rows = [(1, "https://o.example.com/1", "<article><p>same</p></article>", "t")] * 2 + [(None, None, None, None), (2, "", "", "")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, _row string").withColumn("_host", F.lit("h")).withColumn("_p", F.lit("p")), keep=("page_id", "_row", "_host", "_p"))
+    assert sorted((r["page_id"] or 0, r["text"]) for r in got.collect()) == [(0, ""), (1, "same"), (1, "same"), (2, "")]

@@ -12,10 +12,15 @@ Streams are merged in groups of ``FAN`` and the groups' wrappers again in groups
 
 The wrapper then chooses: beginning at the page, it goes down into the element that
 holds most of the fields' text, as long as one does and leaves no heading behind. The
-text of a page is what its slots in that element hold, in page order. Element and
-class names decide what is a menu, form, advert or comment inside it and weigh where
-texts are about as long; they are not looked at on html, body, article and main.
-Inside an article no text is dropped for repeating.
+text of a page is what its slots in that element hold, in page order. Menus, forms,
+asides, headers and hidden elements are away by their tags; an article's own header
+keeps headings, and paragraphs that do not repeat. Names alone take nothing from the chosen element: what
+the element itself is called is not looked at, what a part is called (comments, adverts,
+menus) takes that part away, and a name that can mean anything (side, legal, notice)
+only where the wrapper agrees, because the text repeats or is mostly link. Names weigh
+where texts are about as long, and are not looked at on html, body, article and main.
+Inside an article no text is dropped for repeating; in another element none that
+stands beside fields.
 
 Defined results: null or empty html gives an empty text; markup that is never
 closed ends with the page; a url without a host belongs to the host ''. Pages
@@ -43,6 +48,8 @@ FAN = 32
 HOLDS = 0.6
 #: Weight of field text in an article, and in what its tag or name calls the main part.
 ARTICLE, MAIN = 10, 3
+#: Weight of field text in what a name calls away: it wins only where there is hardly any other.
+AWAY = 0.1
 
 #: Element classes of HTML and the names pages give to what is not the article.
 _RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|head"
@@ -51,9 +58,12 @@ _LEAF_CLOSERS = frozenset("p li dt dd tr td th option".split())
 _AWAY = frozenset("nav aside footer form menu dialog button fieldset header".split())
 _HOME = frozenset(("article", "main"))
 _PLAIN = _HOME | {"html", "body"}
-_AWAY_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|reply|replies|disqus|widget|pagination|pager|tags|toc|legal|disclaimer|copyright)(?:$|[\s_-])", re.I)
+_MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|not|with|without|hide)-\S+|\S+-(?:free|less))(?=\s|$)", re.I)
+_AWAY_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|popup|modal|newsletter|subscribe|signup|login|share|sharing|related|recommend\w*|comments?|reply|replies|disqus|pagination|pager)(?:$|[\s_-])", re.I)
+_ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:side|notice|alert|search|social|widget|tags|toc|legal|disclaimer|copyright)(?:$|[\s_-])", re.I)
 _HOME_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|post(?:-?body|-?content)?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_BLOCK = re.compile(r"(?:p|h[1-6]|li|blockquote|pre|dt|dd|td)[#@]")
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>", re.S | re.I)
 _NAME = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -72,7 +82,8 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
         text = " ".join(entities.unescape("".join(inner)).split())
         if text:
             tag, place, children = stack[-1]
-            place = "1" if place == "h" and tag[:1] == "h" and tag[1:].isdigit() else "2" if place == "h" else place
+            if place == "h":  # an article's header: its headings, and paragraphs where the wrapper agrees
+                place = "1" if tag[:1] == "h" and tag[1:].isdigit() else "4" if tag == "p" else "2"
             sym = f"{tag}{'@' if 2 * linked > len(text) else '#'}{place}"
             children.append((sym, [[sym, 0, 0, [len(texts)]]]))
             texts.append(text)
@@ -130,10 +141,15 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
         if place != "2":
             if tag == "header" and place == "1":
                 place = "h"
-            elif tag in _AWAY or name and _AWAY_NAME.search(name) or attr and _HIDDEN.search(attr):
+            elif tag in _AWAY or attr and _HIDDEN.search(attr):
                 place = "2"
-            elif place == "0" and (tag in _HOME or name and _HOME_NAME.search(name)):
-                place = "1"
+            elif place != "3":
+                name = _MODIFIER.sub("", name)
+                away, aside, main = (bool(rx.search(name)) for rx in (_AWAY_NAME, _ASIDE_NAME, _HOME_NAME))
+                if away or aside:
+                    place = "3" if away and not main else "4"
+                elif tag in _HOME or main and place == "0":
+                    place = "1"
         stack.append((tag, place, []))
     if at < len(page):
         inner.append(page[at:])
@@ -147,11 +163,20 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
 
 def _folded(children: list[tuple[str, list]]) -> list[tuple[str, list]]:
     """An element's children with every repeat of one or of several in a row as one repeated group."""
-    unit = 1
+    unit, ids = 1, None
     while 2 * unit <= len(children):
-        code: dict[str, int] = {}
-        ids = np.array([code.setdefault(s, len(code)) for s, _ in children])
-        same = np.concatenate([[0], np.cumsum(ids[:-unit] == ids[unit:])])
+        if ids is None:  # the children have changed
+            code: dict[str, int] = {}
+            ids = np.array([code.setdefault(s, len(code)) for s, _ in children])
+            once = np.flatnonzero(np.bincount(ids)[ids] == 1)
+            longest = int(np.diff(np.concatenate([[-1], once, [len(ids)]])).max()) - 1
+        if 2 * unit > longest:  # a symbol that occurs once is in no repeat
+            break
+        equal = ids[:-unit] == ids[unit:]
+        if np.count_nonzero(equal) < unit:
+            unit += 1
+            continue
+        same = np.concatenate([[0], np.cumsum(equal)])
         hits = np.flatnonzero(same[unit:] - same[:-unit] == unit)
         out, at = [], 0
         for start in hits.tolist():
@@ -173,7 +198,8 @@ def _folded(children: list[tuple[str, list]]) -> list[tuple[str, list]]:
                 group[-1] = (group[-1][0] + ")+", group[-1][1])
             out += group
             at = stop
-        children = out + children[at:]
+        if at:
+            children, ids = out + children[at:], None
         unit += 1
     return children
 
@@ -233,19 +259,24 @@ def kept_slots(nodes: list[str], wrapper: list[dict]) -> list[bool]:
     # Elements: their place among the nodes, parent, end, and the weighted text of the fields they hold.
     parent, end, mass, open_at = [-1] * len(nodes), [len(nodes)] * len(nodes), [0.0] * (len(nodes) + 1), []
     heading: list[int] = []
+    fielded: set[int] = set()  # elements with a field among their own children
     for k, s in enumerate(nodes):
         if s == "/":
             end[open_at.pop()] = k
-        elif not slot[k]:
-            parent[k] = open_at[-1] if open_at else -1
+            continue
+        parent[k] = open_at[-1] if open_at else -1
+        if not slot[k]:
             open_at.append(k)
-        elif "#" in s and not s.endswith("2") and not template[k]:
-            weight = ARTICLE if any(nodes[i].startswith("article") for i in open_at) else MAIN if s.endswith("1") else 1
+        elif "#" in s and s[-1] != "2" and not template[k]:
+            mark = s[-1]
+            weight = AWAY if mark == "3" else 1 if mark == "4" else ARTICLE if any(nodes[i].startswith("article") for i in open_at) else MAIN if mark == "1" else 1
             mass[-1] += weight * (known[k]["chars"] if known[k] else 1)
             for i in open_at:
                 mass[i] += weight * (known[k]["chars"] if known[k] else 1)
-            if s[0] == "h" and s[1:2].isdigit():
-                heading.append(k)
+            if mark != "3":
+                fielded.add(parent[k])
+                if s[0] == "h" and s[1:2].isdigit():
+                    heading.append(k)
     here = -1
     while mass[here] > 0 and not (here >= 0 and nodes[here].startswith("article")):
         inside = [k for k in range(len(nodes)) if parent[k] == here and not slot[k] and nodes[k] != "/" and not nodes[k].endswith(":2")]
@@ -255,8 +286,22 @@ def kept_slots(nodes: list[str], wrapper: list[dict]) -> list[bool]:
             break
         here = best
     start, stop = (here, end[here]) if here >= 0 else (-1, len(nodes))
-    home = here >= 0 and nodes[here].split(":")[0] in _HOME
-    return [slot[k] and start < k < stop and not s.endswith("2") and (home or s.endswith("1") or "#" in s and not template[k]) for k, s in enumerate(nodes)]
+    tag, _, own = nodes[here].partition(":") if here >= 0 else ("", "", "")
+    home, whole = tag in _HOME, tag in ("", "html", "body")
+
+    def holds(k: int) -> bool:
+        s = nodes[k]
+        mark = "0" if s[-1] == own else s[-1]  # what the chosen element is called says nothing of its parts
+        if mark in ("2", "3"):
+            return False
+        if mark == "4":
+            return "#" in s and not template[k]
+        if home or s[-1] == "1" or "#" in s and not template[k]:
+            return True
+        # Beside fields, in an element that is not the page, a block that repeats or is mostly link is a part of the article.
+        return not whole and parent[k] in fielded and _BLOCK.match(s) is not None and ("#" in s or not template[k])
+
+    return [slot[k] and start < k < stop and holds(k) for k in range(len(nodes))]
 
 
 def host(url: Column) -> Column:
