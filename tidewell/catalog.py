@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.registry import QUERIES, SQL
 
 FLAGSHIP = "facet_page"
-MODULES = ("forecasting", "facets", "health", "changes", "texts", "reads", "streams", "documents", "paths", "lineage", "records", "scope", "evidence", "questions", "pages", "revisions")
+MODULES = ("forecasting", "facets", "health", "changes", "texts", "reads", "streams", "documents", "paths", "lineage", "records", "scope", "evidence", "questions", "pages", "revisions", "timeline")
 
 
 def _loaded() -> None:
