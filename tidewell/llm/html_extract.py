@@ -34,6 +34,7 @@ import html as entities
 import json
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,13 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)
 _NAME = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+@lru_cache(maxsize=4096)
+def _called(name: str) -> tuple[bool, bool, bool]:
+    """Whether a name says away, perhaps away, the main part."""
+    name = _MODIFIER.sub("", name)
+    return bool(_AWAY_NAME.search(name)), bool(_ASIDE_NAME.search(name)), bool(_HOME_NAME.search(name))
+
+
 def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
     """(nodes, blocks): the folded token stream, and each text with the node it fills.
 
@@ -144,8 +152,7 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
             elif tag in _AWAY or attr and _HIDDEN.search(attr):
                 place = "2"
             elif place != "3":
-                name = _MODIFIER.sub("", name)
-                away, aside, main = (bool(rx.search(name)) for rx in (_AWAY_NAME, _ASIDE_NAME, _HOME_NAME))
+                away, aside, main = _called(name) if name else (False, False, False)
                 if away or aside:
                     place = "3" if away and not main else "4"
                 elif tag in _HOME or main and place == "0":
