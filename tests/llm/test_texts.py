@@ -295,6 +295,35 @@ def test_topics_tell_vocabularies_apart(spark):
     assert given["topic"] == "mine" and given["n_tokens"] > 0
 
 
+def test_topics_are_learned_from_all_documents(spark):
+    """2,300 texts with small hashes, and a theme that only texts with large hashes have; against plain k-means over all of them."""
+    themes = [[f"{name}{i}word" for i in range(12)] for name in ("sea", "law", "code")]
+    text = lambda k, t: " ".join(random.Random(k).choices(themes[t], k=60))
+    h = F.xxhash64("doc_id", F.xxhash64("text"))
+    many = spark.createDataFrame([(k, text(k, k % 2)) for k in range(4600)], "doc_id bigint, text string").where(h < 0)
+    few = spark.createDataFrame([(k, text(k, 2)) for k in range(10_000, 10_080)], "doc_id bigint, text string").where(h > 0)
+    df = many.union(few)
+    weights = mixing.fit_topics(df, topics=3)
+    assert np.array_equal(weights, mixing.fit_topics(df.repartition(7), topics=3))
+    rows = mixing.described(df, weights).withColumn("h", h).orderBy("h").collect()
+    own = {}
+    for r in rows:
+        own.setdefault(2 if r["doc_id"] >= 10_000 else r["doc_id"] % 2, set()).add(r["seen"]["topic"])
+    assert len(rows) > 2100 and all(len(v) == 1 for v in own.values()) and len(set.union(*own.values())) == 3
+    counts = []
+    for _, n, data, offsets in blocks(pa.array([r["text"] for r in rows])):
+        starts, ends, first = mixing.word_spans(data, offsets)
+        counts += [np.bincount(mixing._bins(data, starts, ends)[first[i] : first[i + 1]], minlength=mixing.TOPIC_BINS) for i in range(n)]
+    tf = np.array(counts, float)
+    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0)))
+    x = tf * idf
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    topic = np.array([r["seen"]["topic"] for r in rows])
+    centre = np.stack([x[topic == k].sum(0) for k in range(3)])
+    centre /= np.sqrt((centre * centre).sum(1, keepdims=True))
+    assert np.allclose(weights, centre * idf, atol=1e-3) and ((x @ centre.T).argmax(1) == topic).all()
+
+
 def test_pages_of_several_templates(spark):
     page = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header><nav><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul></nav></header>
     <div class="sidebar"><p>Side {n}</p></div><main><article class="post"><header><h1>Title &amp; {n}</h1><p>by staff</p></header><p>First <b>bold</b>   text {n}.<p>Second&nbsp;par<br>agraph {n}</p>

@@ -9,8 +9,8 @@ probability. Cells are counts, not documents; up to ``MAX_CELLS`` they are
 raked on the driver, more are raked as a distributed table by the same steps.
 
 A topic is a given column, or the nearest of ``TOPICS`` centres that spherical
-k-means finds among the hashed words of at most ``TOPIC_ROWS`` documents, drawn by
-hash; every document is then assigned by its whole text.
+k-means finds among the hashed words of all documents; the steps add whole numbers, so
+no order of rows changes a centre. Every document is then assigned by its whole text.
 
 Defined results: null source or language is a category of its own; null, empty
 and wordless texts have no tokens, topic -1, and the probability of their cell,
@@ -22,6 +22,7 @@ text draw the same lot; an empty table stays empty; marginals that cannot be met
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,14 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, span_hashes, word_spans
 from tidewell.llm.sqlx import fresh, unused
-from tidewell.session import materialize
+from tidewell.session import discard, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 #: Words of as many bytes tell a topic, by hash bins.
 TOPIC_WORD = 5
 TOPIC_BINS = 1 << 10
-#: Bound of the sample from which centres are fitted, and its steps.
-TOPIC_ROWS = 2000
+#: Most steps of k-means.
 TOPIC_STEPS = 12
 MAX_CELLS = 200_000
 STEPS = 60
@@ -54,45 +54,118 @@ def _bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (span_hashes(data, starts, ends) >> np.uint64(17)).astype(np.int64) % TOPIC_BINS
 
 
-def fit_topics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, rows: int = TOPIC_ROWS) -> np.ndarray:
-    """Weights of ``TOPIC_BINS`` words for each topic, from at most ``rows`` different documents."""
-    drawn = F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))
-    keyed = docs.where(F.col(text_col).isNotNull()).select(drawn.alias("h"), F.col(text_col).alias("x"))
-    some = keyed.select("h").distinct().orderBy("h").limit(rows)
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, c) of each text: a hash, and pairs of a bin and its part of the text's length in 2^15ths."""
 
     @F.arrow_udf("binary")
     def counts(texts: pa.Array) -> pa.Array:
         out = []
         for _, n, data, offsets in blocks(texts):
             starts, ends, first = word_spans(data, offsets)
-            long = (ends - starts) >= TOPIC_WORD
-            bins = _bins(data, starts, ends)
-            for i in range(n):
-                s = slice(first[i], first[i + 1])
-                c = np.bincount(bins[s][long[s]], minlength=TOPIC_BINS).astype(np.float32)
-                out.append((c / max(1.0, float(np.sqrt((c * c).sum())))).astype(np.float16).tobytes())
+            long = np.flatnonzero((ends - starts) >= TOPIC_WORD)
+            doc = np.searchsorted(first, long, "right") - 1
+            key, count = np.unique(doc * TOPIC_BINS + _bins(data, starts[long], ends[long]), return_counts=True)
+            row = key // TOPIC_BINS
+            length = np.sqrt(np.bincount(row, weights=count.astype(float) ** 2, minlength=n))
+            pairs = np.stack([key % TOPIC_BINS, np.maximum(1, np.rint(count * (2.0**15 / length[row])))], 1).astype(np.uint16)
+            cut = np.searchsorted(row, np.arange(n + 1)).tolist()
+            out += [pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.array(out, pa.binary())
 
-    # ``some`` has at most ``rows`` numbers.
-    found = keyed.join(F.broadcast(some), "h", "left_semi").select("h", counts("x").alias("c")).groupBy("h").agg(F.min("c").alias("c")).orderBy("h").collect()
-    tf = np.array([np.frombuffer(r["c"], np.float16) for r in found], np.float32).reshape(len(found), TOPIC_BINS)
-    tf = tf[(tf > 0).any(1)]
-    if not len(tf):
+    return docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("h"), counts(F.col(text_col)).alias("c"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows of ``_counted`` that have pairs: the first pair of each row, and all bins and parts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            some = batch.slice(at, 1000)
+            c = some.column("c").cast(pa.large_binary())
+            cut = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1] // 4
+            pairs = np.frombuffer(c.buffers()[2], np.uint16)[2 * cut[0] : 2 * cut[-1]].reshape(-1, 2)
+            yield some, cut[:-1] - cut[0], pairs[:, 0].astype(np.int64), pairs[:, 1].astype(float)
+
+
+def _units(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same with parts weighted and scaled to vectors of length 1, in whole 2^15ths."""
+    for some, first, bins, part in _pairs(batches):
+        x = part * idf[bins]
+        scale = 2.0**15 / np.maximum(1e-9, np.sqrt(np.add.reduceat(x * x, first)))
+        yield some, first, bins, np.rint(x * np.repeat(scale, np.diff(np.append(first, len(x)))))
+
+
+def _likeness(centre: np.ndarray, first: np.ndarray, bins: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Product of each row with each centre, a line each."""
+    return np.stack([np.add.reduceat(c[bins] * x, first) for c in centre])
+
+
+def _whole(centre: np.ndarray) -> np.ndarray:
+    """Centres of length 1 in whole 2^20ths: products with whole vectors are exact in any order."""
+    return np.rint(centre * (2.0**20 / np.maximum(1e-9, np.sqrt((centre * centre).sum(1, keepdims=True)))))
+
+
+def fit_topics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS) -> np.ndarray:
+    """Weights of ``TOPIC_BINS`` words for each topic, from all documents. Each step is a pass over the
+    written counts; only sums by topic and bin, and one row a starting centre, come to the driver."""
+    written = materialize(_counted(docs, id_col, text_col), "topics")
+    table = written.where(F.length("c") > 0)
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, seen = 0, np.zeros(TOPIC_BINS, np.int64)
+        for some, _, bins, _ in _pairs(batches):
+            rows += some.num_rows
+            seen += np.bincount(bins, minlength=TOPIC_BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, TOPIC_BINS)), pa.array(np.append(rows, seen))], ["bin", "n"])
+
+    held = {r["bin"]: r["n"] for r in table.mapInArrow(holding, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    if not held.get(-1):
         return np.zeros((topics, TOPIC_BINS), np.float32)
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32)
-    x = tf * idf
-    x /= np.maximum(1e-9, np.sqrt((x * x).sum(1, keepdims=True)))
-    chosen = [0]  # centres far from each other to begin with
-    near = x @ x[0]
-    while len(chosen) < topics:
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centre = x[chosen]
+    idf = np.log((1 + held[-1]) / (1 + np.array([held[k] for k in range(TOPIC_BINS)])))
+
+    def start(chosen: np.ndarray) -> np.ndarray:
+        """The row that is farthest from its nearest centre, by the smallest hash of ties."""
+
+        def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for some, first, bins, x in _units(batches, idf):
+                near = (_likeness(chosen, first, bins, x).max(0) if len(chosen) else np.zeros(len(first))).astype(np.int64)
+                h = some.column("h").to_numpy()
+                k = int(np.lexsort((h, near))[0])
+                if best is None or (near[k], h[k]) < best[:2]:
+                    best = near[k], h[k], some.column("c")[k].as_py()
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in best], ["near", "h", "c"])
+
+        found = table.mapInArrow(farthest, "near bigint, h bigint, c binary").orderBy("near", "h").first()
+        row = pa.RecordBatch.from_arrays([pa.array([found["c"]], pa.binary())], ["c"])
+        _, _, bins, x = next(_units(iter([row]), idf))
+        return _whole(np.bincount(bins, weights=x, minlength=TOPIC_BINS)[None])
+
+    def step(centre: np.ndarray) -> np.ndarray:
+        """The sum of the vectors nearest to each centre; a centre without any stays."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(topics * TOPIC_BINS)
+            for _, first, bins, x in _units(batches, idf):
+                own = _likeness(centre, first, bins, x).argmax(0)
+                total += np.bincount(np.repeat(own, np.diff(np.append(first, len(x)))) * TOPIC_BINS + bins, weights=x, minlength=len(total))
+            on = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(on // TOPIC_BINS), pa.array(on % TOPIC_BINS), pa.array(total[on].astype(np.int64))], ["topic", "bin", "n"])
+
+        total = np.zeros((topics, TOPIC_BINS))
+        for r in table.mapInArrow(sums, "topic bigint, bin bigint, n bigint").groupBy("topic", "bin").agg(F.sum("n").alias("n")).collect():
+            total[r["topic"], r["bin"]] = r["n"]
+        return _whole(np.where(total.any(1, keepdims=True), total, centre))
+
+    centre = np.zeros((0, TOPIC_BINS))  # centres far from each other to begin with
+    for _ in range(topics):
+        centre = np.concatenate([centre, start(centre)])
     for _ in range(TOPIC_STEPS):
-        own = (x @ centre.T).argmax(1)
-        total = np.stack([x[own == k].sum(0) if (own == k).any() else centre[k] for k in range(topics)])
-        centre = total / np.maximum(1e-9, np.sqrt((total * total).sum(1, keepdims=True)))
-    return (centre * idf).astype(np.float32)
+        before, centre = centre, step(centre)
+        if np.array_equal(before, centre):
+            break
+    discard(written)
+    return (centre / 2.0**20 * idf).astype(np.float32)
 
 
 def described(docs: DataFrame, weights: np.ndarray | None, *, text_col: str = "text", topic_col: str | None = None, name: str = "seen") -> DataFrame:
