@@ -197,6 +197,18 @@ def test_codec_gives_back_every_text(spark, docs, odd_docs, no_docs):
         sentencepiece_codec.encode(docs, name="doc_id")
 
 
+def test_a_text_is_encoded_once_however_many_functions_read_its_pieces(spark, docs):
+    """Decoding in the same query must read the pieces, not encode again."""
+    query = registry.op5_sentencepiece(spark, SF)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    calls = [x for x in plan.split("\n") if "ArrowEvalPython [" in x]
+    assert sum(x.split("], [")[0].count("pieces(") for x in calls) == 1, plan
+    rows = query.collect()
+    sizes = {r["doc_id"]: len(r["pieces"]) for r in sentencepiece_codec.encode(docs).where("text is not null").collect()}
+    assert len(rows) == docs.count() and all(r["lossless"] for r in rows)
+    assert {r["doc_id"]: r["n_pieces"] for r in rows if r["doc_id"] in sizes} == sizes
+
+
 def test_fingerprints_of_edited_texts(spark, docs, odd_docs, no_docs):
     for df in (docs.select("doc_id", "text"), odd_docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), reverse=True)

@@ -308,7 +308,10 @@ def encode(docs: DataFrame, *, model: str = MODEL, text_col: str = "text", id_co
         none = np.asarray(texts.is_null())
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=pa.array(none) if none.any() else None)
 
-    return docs.withColumn(name, pieces(F.col(text_col), F.xxhash64(F.col(id_col))))
+    # Spark evaluates a deterministic function anew in every Python function that reads it, as ``decoded``
+    # does; the mark forbids that, so that a text is encoded once. Its values depend on the row alone.
+    once = pieces.asNondeterministic()
+    return docs.withColumn(name, once(F.col(text_col), F.xxhash64(F.col(id_col))))
 
 
 def decoded(spark_df: DataFrame, column: Column, *, model: str = MODEL) -> Column:
