@@ -1,5 +1,7 @@
 """The pipeline's stages against what each operator gives on its own input."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -49,3 +51,17 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
                 assert all(r[c] == before_value for r in df.collect() for c, before_value in (("p", "p"), ("topic", "t"), ("kept", "y"), *((c, "mine") for c in own if c in docs.columns)))
             if name == "language":
                 assert all(any(ch.isalpha() for ch in r["text"] or "") for r in df.collect())
+
+
+def test_mixing_keeps_a_rare_theme_wherever_its_hashes_lie(spark):
+    """Topics come from all documents: 40 texts of their own theme, with large hashes among 2,300 others, get a topic's tempered share."""
+    themes = [[f"{name}{i}word" for i in range(12)] for name in ("sea", "law", "code")]
+    text = lambda k, t: " ".join(random.Random(k).choices(themes[t], k=60))
+    h = F.xxhash64("doc_id", F.xxhash64("text"))
+    many = spark.createDataFrame([(k, text(k, k % 2)) for k in range(4600)], "doc_id bigint, text string").where(h < 0)
+    few = spark.createDataFrame([(k, text(k, 2)) for k in range(10_000, 10_080)], "doc_id bigint, text string").where(h > 0)
+    docs = materialize(many.union(few).withColumn("lang", F.lit("en")).withColumn("source", F.lit("web")), "themes")
+    kept = P.mixture(spark, docs, SF)
+    rare = "doc_id >= 10000"
+    assert docs.count() > 2100 and kept.where(rare).count() == docs.where(rare).count() > 20
+    assert kept.where(f"not {rare}").count() < 0.8 * docs.where(f"not {rare}").count()
