@@ -1,12 +1,16 @@
 """The pipeline's stages against what each operator gives on its own input."""
 
 import random
+import re
+from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tidewell.llm import language_id, sentencepiece_codec
-from tidewell.session import materialize
+from tidewell.session import checkpoint_dir, materialize
 from test_line_dedup import WORD, plain
 from test_order_minhash import shingle_set
 
@@ -65,3 +69,29 @@ def test_mixing_keeps_a_rare_theme_wherever_its_hashes_lie(spark):
     rare = "doc_id >= 10000"
     assert docs.count() > 2100 and kept.where(rare).count() == docs.where(rare).count() > 20
     assert kept.where(f"not {rare}").count() < 0.8 * docs.where(f"not {rare}").count()
+
+
+def test_tables_are_written_in_few_files_however_many_partitions_are_shuffled(spark, tmp_path):
+    """A file a core, not one a shuffle partition: on local disks executors start processes for each file."""
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in many}
+    text = lambda k: "\n".join(" ".join(random.Random(7 * k // 2 + i).choices(["sea", "law", "code", "tide", "well", "mill"], k=12)) for i in range(4))
+    docs = materialize(spark.createDataFrame([(k, text(k), "en", "web") for k in range(600)], "doc_id bigint, text string, lang string, source string").repartition(16), "few")
+    written = []
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        before = set(Path(urlparse(checkpoint_dir(spark)).path).rglob("part-*.parquet"))
+        for name, stage in P.STAGES[1:3]:
+            out = stage(spark, docs, SF)
+            out.write.parquet(str(tmp_path / name))
+            docs = spark.read.schema(out.schema).parquet(str(tmp_path / name))
+            written += (tmp_path / name).glob("part-*.parquet")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    written += set(Path(urlparse(checkpoint_dir(spark)).path).rglob("part-*.parquet")) - before
+    files = Counter(p.parent for p in written)
+    scanned = [n for d, n in files.items() if re.search("-(lines|sketches)-", str(d))]  # as many as the splits of what is read
+    assert docs.count() > 100 and len(files) > 10
+    assert max(n for d, n in files.items() if not re.search("-(lines|sketches)-", str(d))) <= spark.sparkContext.defaultParallelism and max(scanned) <= 16

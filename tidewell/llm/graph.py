@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialize
+from tidewell.session import gathered, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,14 +17,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     over a node are combined before they are shuffled; joins have one row a node
     on one side, so a node with very many edges can be split."""
     both = materialize(
-        edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct(), "edges"
+        gathered(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct()), "edges"
     )
-    labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")), "labels")
+    labels = materialize(gathered(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component"))), "labels")
     while True:
         heard = both.join(labels, both.x == labels.node).groupBy(F.col("y").alias("node")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("near"))
         of = labels.select(F.col("node").alias("near"), F.col("component").alias("beyond"))
-        step = materialize(nearer.join(of, "near").select("node", "old", F.least("near", "beyond").alias("component")), "labels")
+        step = materialize(gathered(nearer.join(of, "near").select("node", "old", F.least("near", "beyond").alias("component"))), "labels")
         labels = step.select("node", "component")
         if step.where("old <> component").limit(1).count() == 0:
             return labels

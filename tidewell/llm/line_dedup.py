@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, mix, span_hashes, word_spans
 from tidewell.llm.sqlx import id_key, unused
-from tidewell.session import discard, materialize, release
+from tidewell.session import discard, gathered, materialize, release
 
 MIN_WORDS = 1
 MIN_FUZZY = 3
@@ -174,18 +174,18 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     lines = materialize(keyed.select("_k", "_t", F.explode(read(F.coalesce(F.col("_x"), F.lit("")))).alias("l")).select("_k", "_t", "l.*"), "lines")
     # One row a distinct line, written, so that a very common line is one row in all that follows.
     equal = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    firsts = materialize(equal, "firsts")
+    firsts = materialize(gathered(equal), "firsts")
     # The filter: keys that two different lines share. Every table is written before the next one is
     # shuffled: one shuffle's files at a time, and joins of plain tables, whose hot keys Spark can split.
     release(docs.sparkSession)
     keys = firsts.select("h1", "h2", F.posexplode("keys").alias("stretch", "key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key"), "shared")
+    shared = materialize(gathered(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")), "shared")
     release(docs.sparkSession)
     each = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("stretch")
     short = firsts.where(F.col("n").between(min_fuzzy, SHORT)).select("h1", "h2", each)
     live = keys.join(shared, "key").select("h1", "h2", "stretch").union(short).groupBy("h1", "h2").agg(F.collect_set("stretch").alias("stretches"))
     chosen = live.join(firsts, ["h1", "h2"]).select(F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "stretches").alias("l"))
-    by_text = materialize(chosen.groupBy("_k", "_t").agg(F.collect_list("l").alias("lines")), "chosen")
+    by_text = materialize(gathered(chosen.groupBy("_k", "_t").agg(F.collect_list("l").alias("lines"))), "chosen")
     discard(shared)
     release(docs.sparkSession)
 
@@ -204,7 +204,7 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
 
     # Texts travel compressed.
     packed = keyed.select("_k", "_t", _packed(F.col("_x")).alias("_z"))
-    emitted = packed.join(by_text, ["_k", "_t"]).dropDuplicates(["_k", "_t"]).select("_k", "_t", F.explode(neighbourhood("_z", "lines")).alias("v"))
+    emitted = gathered(packed.join(by_text, ["_k", "_t"]).dropDuplicates(["_k", "_t"])).select("_k", "_t", F.explode(neighbourhood("_z", "lines")).alias("v"))
     variants = materialize(emitted.select("_k", "_t", "v.*").select("v1", "v2", "p", "h1", "h2", _order().alias("ord")), "variants")
     discard(by_text)
     release(docs.sparkSession)
@@ -212,12 +212,12 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     either = same_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("p") < 0, F.col("lead"))).alias("whole"), F.min(F.when(F.col("p") >= 0, F.col("lead"))).alias("cut"))
     nearest = F.when(F.col("p") < 0, F.col("cut")).otherwise(F.least("lead", "whole"))
     near = variants.join(same_place, ["v1", "v2", "p"]).join(either, ["v1", "v2"]).where(nearest < F.col("ord")).select("h1", "h2").distinct().withColumn("near", F.lit(True))
-    acted = materialize(firsts.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near"), "acted")
+    acted = materialize(gathered(firsts.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "first", "near")), "acted")
     discard(variants, firsts)
     release(docs.sparkSession)
     # One row a line on the right, so a line with very many occurrences can be split.
     places = lines.select("_k", "_t", "pos", "h1", "h2").join(acted, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_order() != F.col("first")))
-    gone = materialize(places.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).cast("int").alias("n_near")), "gone")
+    gone = materialize(gathered(places.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).cast("int").alias("n_near"))), "gone")
     discard(lines, acted)
     return gone
 
@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
             texts.append(text if not out else "\n".join(x for i, x in enumerate(split) if i not in out))
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n, pa.int32())], ["text", "n"])
 
-    joined = packed.join(found, ["_k", "_t"], "left").withColumn("_r", rest("_z", "gone"))
+    joined = gathered(packed.join(found, ["_k", "_t"], "left")).withColumn("_r", rest("_z", "gone"))
     told = F.struct(F.col("_r.n").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
     extra = [] if counts is None else [told.alias(counts)]
     return joined.select(*[F.col("_r.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names], *extra)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.bytestext import blocks, span_hashes, word_spans
 from tidewell.llm.sqlx import fresh, unused
-from tidewell.session import discard, materialize
+from tidewell.session import discard, gathered, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
@@ -313,5 +313,5 @@ def lots(seen: DataFrame, p: DataFrame, *, name: str = "seen", id_col: str = "do
 def mix(docs: DataFrame, *, share: float = SHARE, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None, topic_col: str | None = None, seed: int = SEED, name: str = "mixed") -> DataFrame:
     """Every row of ``docs`` with a new column ``name``: n_tokens, topic, p and kept."""
     seen = described(docs, fit_topics(docs) if topic_col is None else None, topic_col=topic_col, name=name)
-    table = materialize(cells(seen, name), "cells")
+    table = materialize(gathered(cells(seen, name)), "cells")
     return lots(seen, probabilities(table, share=share, temper=temper, targets=targets), name=name, seed=seed)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.bytestext import blocks, mix, word_hashes
 from tidewell.llm.graph import components
 from tidewell.llm.sqlx import id_key
-from tidewell.session import checkpoint_dir, materialize
+from tidewell.session import checkpoint_dir, gathered, materialize
 
 SHINGLE = 5
 DRAWN = 2
@@ -189,9 +189,9 @@ def links(drawn: DataFrame, texts: DataFrame, min_likeness: float = MIN_LIKENESS
     # Copies of one text are one member.
     members = held.groupBy("j", "s", "node").agg(F.first("n").alias("n"))
     shared = members.groupBy("j", "s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    bucketed = materialize(members.join(shared, ["j", "s"]), "buckets")
+    bucketed = materialize(gathered(members.join(shared, ["j", "s"])), "buckets")
     # Only texts with a candidate are shuffled again, and rounds read this table, not the corpus.
-    texts = materialize(texts.join(bucketed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = materialize(gathered(texts.join(bucketed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "texts")
     # Pairs and links of all rounds lie in one table each, a partition a round, so plans don't grow with the rounds.
     root = f"{checkpoint_dir(texts.sparkSession)}/tidewell-rounds-{uuid.uuid4().hex}"
     tested: DataFrame | None = None
@@ -204,8 +204,8 @@ def links(drawn: DataFrame, texts: DataFrame, min_likeness: float = MIN_LIKENESS
         pairs = pairs.select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
         if tested is not None:
             pairs = pairs.join(tested.select("lo", "hi"), ["lo", "hi"], "left_anti")
-        pairs, tested = _append(pairs, f"{root}/pairs", turn)
-        new, linked = _append(verify(pairs.select("a", "b"), texts, min_likeness), f"{root}/links", turn)
+        pairs, tested = _append(gathered(pairs), f"{root}/pairs", turn)
+        new, linked = _append(gathered(verify(pairs.select("a", "b"), texts, min_likeness)), f"{root}/links", turn)
         if not new.isEmpty():
             # Components so far are stars, so the next ones are a step or two away.
             edges = new.select("a", "b") if comp is None else new.select("a", "b").union(comp.select("node", "component"))
@@ -261,7 +261,7 @@ def _prefix_pairs(bucketed: DataFrame, texts: DataFrame, comp: DataFrame | None,
     placed = _placed(bucketed, comp)
     mixed = placed.groupBy("j", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("j", "s")
     nodes = placed.join(mixed, ["j", "s"], "left_semi").select("node", "c").distinct()
-    open_texts = materialize(texts.join(nodes, "node"), "open")
+    open_texts = materialize(gathered(texts.join(nodes, "node")), "open")
     rows = open_texts.select("text").mapInArrow(_count_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(BINS, np.int64)
     often[rows["bin"].to_numpy()] = rows["n"].to_numpy()
@@ -289,7 +289,7 @@ def _prefix_pairs(bucketed: DataFrame, texts: DataFrame, comp: DataFrame | None,
     by_key = Window.partitionBy("key")
     index = F.col("i") < F.col("short")
     seen = each.select("node", "c", "n", "i", index.alias("index"), "key", *words, F.min("c").over(by_key).alias("lo"), F.max("c").over(by_key).alias("hi"), F.max(index).over(by_key).alias("any"))
-    live = materialize(seen.where("lo <> hi and any").drop("lo", "hi", "any"), "prefixes")
+    live = materialize(gathered(seen.where("lo <> hi and any").drop("lo", "hi", "any")), "prefixes")
     short = live.where("index").select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), *[F.col(w).alias(f"v{w}") for w in words])
     fits = (F.col("c") != F.col("d")) & (F.col("n") >= F.col("m")) & (F.col("m") >= min_likeness * F.col("n") - 1e-9)
     both = F.col("n") + F.col("m")
@@ -346,4 +346,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     stay = first.select(id_key(first, "id").alias("_k"), F.col("node").alias("_n"))
     # The row travels as one struct, so none of its names can clash.
     marked = docs.select(id_key(docs, id_col).alias("_k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"), F.struct(*docs.columns).alias("_row"))
-    return marked.join(stay, ["_k", "_n"], "left_semi").dropDuplicates(["_k", "_n"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return gathered(marked.join(stay, ["_k", "_n"], "left_semi").dropDuplicates(["_k", "_n"])).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
