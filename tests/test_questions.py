@@ -33,6 +33,29 @@ def test_roles(spark):
     assert told == {1: {1, 2}, 2: {2}, 3: {4}, 4: {1, 2}, 6: {5}}
 
 
+def test_equal_questions_and_roles_are_matched_once(spark, monkeypatch):
+    written = {}
+
+    def counted(df, label, write=Q.materialize):
+        out = write(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Q, "materialize", counted)
+    rows = [(r, 1 + r % 2, "acme" if r % 2 == 0 else "beta", "internship", None, None, r < 30) for r in range(40)]
+    names = [(r, "Software Engineer Intern") for r in range(40)] + [(3, "Trader Intern")]
+    asked = [(q, ("Acme software engineers", "ACME software engineer!", "beta trader", "acme internship", None)[q % 5]) for q in range(100)]
+    found = spark.createDataFrame([(q, 2 if q % 5 == 2 else 1) for q, _ in asked], "question_id int, company_id int")
+    got = Q.roles(found, spark.createDataFrame(asked, "question_id int, text string"), spark.createDataFrame(rows, "role_id int, company_id int, company string, track string, location_scope string, specialization string, in_scope boolean"), spark.createDataFrame(names, "role_id int, name string"))
+    told = {}
+    for r in got.collect():
+        told.setdefault(r["question_id"], []).append(r["role_id"])
+    even = list(range(0, 30, 2))
+    assert {q: sorted(x) for q, x in told.items()} == {q: even if q % 5 in (0, 1, 3) else [3] for q, _ in asked if q % 5 != 4}
+    # Two texts ask acme the same; 40 roles are called in two ways and are in scope or not.
+    assert written == {"asked": 4, "asks": 3, "kinds": 5, "meant": 3}
+
+
 def test_ladder(spark):
     page = lambda *scripts: "".join(f'<script type="{t}">{json.dumps(v) if not isinstance(v, str) else v}</script>' for t, v in scripts)
     job = {"@type": "JobPosting", "title": "J", "url": "/j", "jobLocation": [{"address": {"city": "A", "country": "B"}}, "C"]}
