@@ -156,6 +156,16 @@ def test_circle(spark):
     assert opposite.agg(D.circular_center(F.col("day"), F.col("w")).alias("c")).first()["c"] is None
 
 
+def test_centres_halfway_between_places_are_those_of_sql(spark, tmp_path):
+    from tidewell import catalog, compare
+
+    pairs = (("1995-01-14", "1997-10-07", "4-LOW"), ("1998-06-30", "1998-07-05", "4-LOW"), ("1995-04-14", "1995-12-02", "1-URGENT"), ("1999-12-20", "2001-01-13", "2-HIGH"))
+    rows = [(2 * k + i, k, "F", dt.datetime.fromisoformat(on), priority) for k, (*days, priority) in enumerate(pairs) for i, on in enumerate(days)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    # The last pair lies just before the end of the year, by the last bit of its sums.
+    assert compare.difference(spark, str(tmp_path), catalog.queries()["circular_center"], catalog.oracle_sql()["circular_center"]) == ""
+
+
 def test_upsert_and_diff(spark):
     a = spark.createDataFrame([(1, "x", "t1"), (2, "y", "t1"), (3, None, "t1")], "k bigint, h string, at string")
     b = spark.createDataFrame([(2, "z", "t2"), (3, None, "t2"), (4, "w", "t2")], "k bigint, h string, at string")
